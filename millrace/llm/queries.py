@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import decontamination, mixing
 from millrace.session import ship
 
 
@@ -25,5 +26,20 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import mix_sources
+
+    rows = mix_sources(_table(spark, sf_dir, "documents"))
+    return rows.selectExpr("doc_id", "_size AS size", "_source_size AS source_size", "_target AS target", "_taken AS taken")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.decontamination import report
+
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op4_mixing, op5_decontamination)
+}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_decontamination": decontamination.ORACLE}
