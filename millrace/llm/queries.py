@@ -39,7 +39,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality_rules import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op4_mixing, op5_decontamination)
+    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op4_mixing, op5_decontamination, op8_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_decontamination": decontamination.ORACLE}
