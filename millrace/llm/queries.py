@@ -39,6 +39,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.url_filter import report
+
+    return report(_table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.license_scan import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.quality_rules import report
 
@@ -46,6 +58,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op4_mixing, op5_decontamination, op8_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op4_mixing, op5_decontamination, op6_url_filter, op7_license_scan, op8_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_decontamination": decontamination.ORACLE}
