@@ -113,8 +113,8 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first `most` bytes."""
         out = np.empty(len(self), np.uint64)
         value = _tables(self.kind, self.lower)[2]
         block, at = 1 << 20, 0
@@ -125,6 +125,8 @@ class Words:
             p = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum(value[self.data[lo:hi]] * _power(BASE, hi - lo)[: hi - lo], out=p[1:])
             s, e = self.start[at:to] - lo, self.end[at:to] - lo
+            if most is not None:
+                e = np.minimum(e, s + most)
             out[at:to] = mix((p[e] - p[s]) * _power(INVERSE, hi - lo)[s] + (e - s).astype(np.uint64) * WINDOW)
             at = to
         return out
