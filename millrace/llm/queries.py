@@ -63,7 +63,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.lm_scoring import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op3_toxicity, op4_mixing, op5_decontamination, op6_url_filter, op7_license_scan, op8_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op3_toxicity, op4_mixing, op5_decontamination, op6_url_filter, op7_license_scan, op8_quality_rules, op9_lm_scoring)
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_decontamination": decontamination.ORACLE}
