@@ -69,7 +69,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.token_output import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op3_toxicity, op4_mixing, op5_decontamination, op6_url_filter, op7_license_scan, op8_quality_rules, op9_lm_scoring)
+    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard, op3_toxicity, op4_mixing, op5_decontamination, op6_url_filter, op7_license_scan, op8_quality_rules, op9_lm_scoring, op10_token_output)
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_decontamination": decontamination.ORACLE}
