@@ -157,11 +157,8 @@ def j9_minhash_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The approximate form: MinHash tables over shingle hashes, pairs verified by their exact distance."""
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
-    from millrace.functions.text import casefold
-
-    t = F.split(F.trim(F.regexp_replace(casefold(F.col("text")), r"(?U)\s+", " ")), " ")
-    df = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", t.alias("w")).where(F.size("w") >= 3)
-    df = df.withColumn("s", F.expr("if(size(w) >= 3, transform(sequence(1, size(w) - 2), i -> array_join(slice(w, i, 3), ' ')), w)"))
+    one = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    df = dedup.shingles(one, "doc_id").groupBy("doc_id").agg(F.collect_list(F.col("x").cast("string")).alias("s"))
     df = HashingTF(inputCol="s", outputCol="v", numFeatures=1 << 20, binary=True).transform(df).select("doc_id", "v")
     model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=12, seed=1729).fit(df)
     pairs = model.approxSimilarityJoin(df, df, 0.2, "distance").where("datasetA.doc_id < datasetB.doc_id")
