@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from millrace.functions.text import lines, strip, words
 
@@ -27,7 +28,10 @@ STAT_HEAVY = {"alpha": 0.45, "digit": 0.15, "short": 0.90, "lines": 8}
 BANDS = (("B0", 0.25), ("B1", 0.50), ("B2", 1.00), ("B3", 1.15), ("B4", 1.25))
 
 
-@F.pandas_udf("struct<compressed:long,entropy:double,run:int>")
+STATISTICS = StructType([StructField("compressed", LongType()), StructField("entropy", DoubleType()), StructField("run", IntegerType())])
+
+
+@F.pandas_udf(STATISTICS)
 def byte_and_character_statistics(text: pd.Series) -> pd.DataFrame:
     """zlib size at level 9, Shannon entropy of characters in bits, and the longest run of one character."""
     out = []

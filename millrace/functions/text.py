@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Tags of chat formats that are no text, and what a word or a line end is.
 GHOST_TAGS = (
@@ -24,7 +25,7 @@ LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 SPACE = r"(?U)\s"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_nfc(text: pd.Series) -> pd.Series:
     """HTML entities to characters, in Unicode's composed form; null to ''. Neither exists as a built-in."""
     return text.map(lambda t: "" if t is None else unicodedata.normalize("NFC", html.unescape(t)))

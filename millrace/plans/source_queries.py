@@ -1 +1,79 @@
-"""Queries."""
+"""Queries of sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import ids
+from millrace.plans.catalog import register, table
+from millrace.plans.dedup_queries import PERMISSION_SQL
+from millrace.sources import jsonl
+
+
+@register("s7_bucket_scan", "SELECT event_id, user_id, event_type, value FROM events WHERE user_id IN (3, 17, 42)")
+def s7_bucket_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four columns of chosen buckets only: both reach the scan."""
+    return table(spark, sf_dir, "events").where(F.col("user_id").isin(3, 17, 42)).select("event_id", "user_id", "event_type", "value")
+
+
+@register("s8_s9_jsonl_round_trip", "SELECT item_id, text FROM benchmark")
+def s8_s9_jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as gzip JSON lines to the shared folder and read back."""
+    import tempfile
+    import uuid
+
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    path = f"{conf.rstrip('/')}/millrace/jsonl-{uuid.uuid4().hex}"
+    jsonl.write_jsonl(table(spark, sf_dir, "benchmark"), path, ["item_id"])
+    return jsonl.read_jsonl(spark, path, "item_id long, text string")
+
+
+@register(
+    "s14_batches_to_sequences",
+    "SELECT o_custkey AS batch, list(o_orderkey ORDER BY o_orderkey) AS sequences, round(sum(o_totalprice), 6)::DOUBLE AS total FROM orders GROUP BY 1",
+)
+def s14_batches_to_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of each batch, in order (orders of a customer)."""
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_custkey").alias("batch")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("sequences"), F.round(F.sum("o_totalprice"), 6).alias("total"))
+
+
+@register(
+    "s16_snapshot_totals",
+    f"SELECT {PERMISSION_SQL.format(id='doc_id')} AS permission, count(*)::BIGINT AS records, sum(length(text))::BIGINT AS characters FROM documents GROUP BY 1",
+)
+def s16_snapshot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(ids.permission(F.col("doc_id")).alias("permission")).agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("characters"))
+
+
+@register(
+    "s17_index_upsert",
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM documents",
+)
+def s17_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index with every fifth entry replaced."""
+    old = table(spark, sf_dir, "documents").select("doc_id", F.lit("old").alias("version"))
+    return jsonl.upsert(old, old.where("doc_id % 5 = 0").withColumn("version", F.lit("new")), "doc_id")
+
+
+@register("s18_first_rows", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 137")
+def s18_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a stream, by its ordinal. The limit is the feature."""
+    return table(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").limit(137)
+
+
+@register(
+    "s19_proxy_questions",
+    "SELECT conv_id, turn, coalesce(nullif(CASE WHEN role = 'user' THEN text END, ''), text) AS question FROM conversations WHERE coalesce(nullif(CASE WHEN role = 'user' THEN text END, ''), text) <> ''",
+)
+def s19_proxy_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several fields that holds text."""
+    own = F.nullif(F.when(F.col("role") == "user", F.col("text")), F.lit(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(own, "text").alias("question")).where("question <> ''")
+
+
+@register("s12_shard_bytes", "SELECT lang, (2 * sum(n_chars))::BIGINT AS bytes FROM documents GROUP BY lang")
+def s12_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of each lane's binary shard: two bytes an id, characters standing for ids."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg((2 * F.sum("n_chars")).alias("bytes"))

@@ -1 +1,110 @@
-"""Queries."""
+"""Queries of the tokenizer and the loss masks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import ids
+from millrace.operators import tokenizer
+from millrace.plans.catalog import register, table
+
+UNITS_SQL = r"u AS (SELECT unnest(regexp_extract_all(text, '\s+|[\p{L}\p{N}_ \x{200C}\x{200D}]+|[^\p{L}\p{N}_\s]+')) AS unit FROM documents), units AS (SELECT unit, count(*)::BIGINT AS n FROM u WHERE strlen(unit) <= 64 GROUP BY unit)"
+CHARS_SQL = "chars AS (SELECT character, sum(n)::BIGINT AS n FROM (SELECT unnest(string_split(unit, '')) AS character, n FROM units) GROUP BY character)"
+PIECES_SQL = r"""long AS (SELECT unit, n FROM units WHERE length(unit) BETWEEN 3 AND 48 AND NOT regexp_matches(unit, '^\s+$') ORDER BY n * greatest(1, strlen(unit) - 1) DESC, encode(unit) LIMIT 20000),
+k AS (SELECT unit, n, unnest(range(2, least(8, length(unit) - 1) + 1)) AS k FROM long), i AS (SELECT unit, n, k, unnest(range(1, length(unit) - k + 2)) AS i FROM k),
+pieces AS (SELECT substr(unit, i, k) AS piece, sum(n)::BIGINT AS n FROM i GROUP BY 1)"""
+
+
+@register("k1_unit_counts", f"WITH {UNITS_SQL} SELECT unit, n FROM units")
+def k1_unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.unit_counts(table(spark, sf_dir, "documents"))
+
+
+@register("k1_character_counts", f"WITH {UNITS_SQL}, {CHARS_SQL} SELECT character, n FROM chars")
+def k1_character_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.character_counts(tokenizer.unit_counts(table(spark, sf_dir, "documents")))
+
+
+@register("k3_substring_counts", f"WITH {UNITS_SQL}, {PIECES_SQL} SELECT piece, n FROM pieces")
+def k3_substring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.substring_counts(tokenizer.unit_counts(table(spark, sf_dir, "documents")))
+
+
+@register(
+    "k2_vocabulary",
+    rf"""WITH {UNITS_SQL}, {CHARS_SQL}, {PIECES_SQL},
+    c AS (SELECT 0 AS class, n AS score, encode(character) AS piece, 'character' AS kind FROM chars ORDER BY n DESC, encode(character) LIMIT 1000),
+    e AS (SELECT * FROM c UNION ALL SELECT 1, n * greatest(1, strlen(unit) - 1), encode(unit), 'unit' FROM units UNION ALL SELECT 1, n * greatest(1, strlen(piece) - 1), encode(piece), 'substring' FROM pieces),
+    o AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY class, score DESC, kind) AS r FROM e WHERE octet_length(piece) > 1 OR hex(piece) > '7F'),
+    b AS (SELECT * FROM o WHERE r = 1 AND hex(piece) NOT IN ('3C7061643E', '3C756E6B3E', '3C626F733E', '3C656F733E') QUALIFY row_number() OVER (ORDER BY class, score DESC, piece, kind) <= 8192 - 260),
+    t AS (SELECT (row_number() OVER (ORDER BY class, score DESC, piece, kind) + 259)::INTEGER AS id, lower(hex(piece)) AS piece, kind FROM b)
+    SELECT * FROM t UNION ALL SELECT (4 + v)::INTEGER, printf('%02x', v), 'byte' FROM range(0, 256) r(v)
+    UNION ALL SELECT * FROM (VALUES (0, '3c7061643e', 'special'), (1, '3c756e6b3e', 'special'), (2, '3c626f733e', 'special'), (3, '3c656f733e', 'special')) s(id, piece, kind)""",
+)
+def k2_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.vocabulary(table(spark, sf_dir, "documents")).select("id", F.lower(F.hex("piece")).alias("piece"), "kind")
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    permission = F.when(ids.permission(F.col("doc_id")) == "validation", "never_train").otherwise("train")
+    return tokenizer.encode(docs.select("doc_id", "text", F.lit("plain").alias("kind"), permission.alias("permission")), tokenizer.vocabulary(docs))
+
+
+@register("k4_k5_k8_encode")
+def k4_k5_k8_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, loss and whether decoding gives the text back."""
+    df = encoded(spark, sf_dir)
+    total = F.aggregate("loss", F.lit(0), lambda a, x: a + x)
+    return df.select("doc_id", F.size("tokens").alias("tokens"), total.alias("loss_tokens"), "loss_policy", "lossless", F.xxhash64("tokens").alias("tokens_hash"))
+
+
+@register("k7_conversation_loss")
+def k7_conversation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the assistant's turns bear loss."""
+    from millrace.plans.text_queries import p6_conversation_text
+
+    text = p6_conversation_text(spark, sf_dir).select("conv_id", "text", F.lit("agentic").alias("kind"), F.lit("train").alias("permission"))
+    df = tokenizer.encode(text, tokenizer.vocabulary(table(spark, sf_dir, "documents")), "conv_id")
+    return df.select("conv_id", F.size("tokens").alias("tokens"), F.aggregate("loss", F.lit(0), lambda a, x: a + x).alias("loss_tokens"), "loss_policy", "lossless")
+
+
+@register(
+    "k7_assistant_characters",
+    "SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS supervised_characters FROM conversations GROUP BY conv_id",
+)
+def k7_assistant_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)).alias("supervised_characters"))
+
+
+@register(
+    "k9_shard_offsets",
+    """SELECT doc_id, (sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) - n_chars)::BIGINT AS token_offset, n_chars AS token_count FROM documents""",
+)
+def k9_shard_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each record's tokens (here: characters) begin in its lane's shard."""
+    from millrace.operators.allocation import running_sum
+
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    most = df.agg(F.max("doc_id")).first()[0] or 1
+    df = running_sum(df, ["lang"], ["doc_id"], F.floor(F.col("doc_id") * 256 / F.lit(most)).cast("int"), "n_chars", "upto")
+    return df.select("doc_id", (F.col("upto") - F.col("n_chars")).alias("token_offset"), F.col("n_chars").alias("token_count"))
+
+
+@register(
+    "k10_clip_to_loss",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), m AS (SELECT doc_id, [CASE WHEN length(x) > 3 THEN 1 ELSE 0 END FOR x IN w] AS m FROM w),
+    k AS (SELECT doc_id, m, list_sum(m) AS total, (list_sum(m) + 1) // 2 AS k FROM m WHERE list_sum(m) > 0),
+    p AS (SELECT doc_id, k, total, len(m) AS n, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS x FROM k),
+    s AS (SELECT doc_id, k, total, n, i, sum(x) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM p)
+    SELECT doc_id, k::BIGINT AS loss, (CASE WHEN k = any_value(total) THEN any_value(n) ELSE min(i) FILTER (s = k) END)::BIGINT AS clipped FROM s GROUP BY doc_id, k""",
+)
+def k10_clip_to_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest prefix with half of a record's loss; words stand for tokens."""
+    df = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)).alias("w"))
+    df = df.withColumn("m", F.transform("w", lambda x: (F.length(x) > 3).cast("int"))).withColumn("total", F.aggregate("m", F.lit(0), lambda a, x: a + x))
+    df = df.where("total > 0").withColumn("k", F.floor((F.col("total") + 1) / 2).cast("int"))
+    _, loss = tokenizer.clip_to_loss(F.col("w"), F.col("m"), F.col("k"))
+    return df.select("doc_id", F.col("k").cast("long").alias("loss"), F.size(loss).cast("long").alias("clipped"))
