@@ -75,11 +75,11 @@ class Model:
         self.threshold = np.zeros(len(LANGUAGES))
 
     def layout(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Rows are laid out in whole segments, at least max(WIDTHS) - 1 zero words behind each: the place of each word, each row's first segment, and the number of segments."""
+        """Rows are laid out in whole segments, max(WIDTHS) - 1 zero words before each, so that no window spans two rows: the place of each word, each row's first segment, and the number of segments."""
         n = np.diff(first)
         segments = np.maximum(1, -(-(n + max(WIDTHS) - 1) // SEGMENT))
         begin = np.concatenate([[0], np.cumsum(segments)])
-        return np.repeat(begin[:-1] * SEGMENT - first[:-1], n) + np.arange(first[-1]), begin[:-1], int(begin[-1])
+        return np.repeat(begin[:-1] * SEGMENT + max(WIDTHS) - 1 - first[:-1], n) + np.arange(first[-1]), begin[:-1], int(begin[-1])
 
     def pooled(self, x: np.ndarray, first: np.ndarray, where: bool = False):
         """For each row the largest response of each filter, and the mean over its segments of each segment's largest one."""
