@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    for module in ("text", "dedup", "allocation", "report", "token", "packing", "ledger", "source"):
+    for module in ("text", "chunk", "dedup", "allocation", "report", "token", "packing", "ledger", "source"):
         import_module(f"millrace.plans.{module}_queries")
 
 
