@@ -10,8 +10,8 @@ int64 doc_ids; uint8 known (0 where a doc_id is null); uint32 ids of each docume
 expansion length of each rule; uint32 symbols. Blocks are rows (shard, block, n_ids, content) of Parquet files, written
 by Spark, so any store that Spark writes to will do.
 
-Encoding splits texts at single spaces between two visible characters. The tokenizer's pre-tokens never reach across
-such a place, so the pieces (which repeat a lot) are encoded once each and remembered, with the same ids as for the
+Encoding splits texts at single spaces between two visible characters, and between a letter and punctuation. The
+tokenizer's pre-tokens never reach across such places, so the pieces (which repeat a lot) are encoded once each and remembered, with the same ids as for the
 whole text.
 
 Defined cases: a null text is an empty one, whose only id is the end; null doc_ids come first; rows that repeat a
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import U64, runs, scratch_dir, text_bytes
-from millrace.llm.words import BASE, INVERSE, WINDOW, _power, _tables, mix, string_buffers
+from millrace.llm.words import BASE, INVERSE, WINDOW, _power, _tables, member, mix, string_buffers
 
 END = 0
 TERMINALS = 1 << 16
@@ -43,9 +43,9 @@ BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids"
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; remembers up to `most` pieces."""
+    """Ids of texts by a tokenizer file; remembers up to `most` pieces, as arrays: sorted hashes, and where each piece's ids are."""
 
-    def __init__(self, path: str | None = None, most: int = 400_000):
+    def __init__(self, path: str | None = None, most: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,38 +54,93 @@ class Encoder:
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[int, np.ndarray] = {}
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of a byte-level token, a character for each byte
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token.encode()) if token in added else len(token)
+        # punctuation (without the apostrophe) that may follow a letter as a new pre-token; not where a special token has such a place
+        self.marks = np.zeros(256, bool)
+        self.marks[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = True
+        for token in added:
+            for x, y in zip(token, token[1:], strict=False):
+                if x.isalpha() and ord(y) < 128:
+                    self.marks[ord(y)] = False
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encodes the pieces data[start:end] and remembers their ids under h.
+
+        Pieces that begin with a space and a visible character and end with a visible one may stand one behind the other
+        in a single text: between them are the very places at which texts are split.
+        """
+        visible, lead = _visible(data)
+        inner = (data[start] == 0x20) & (end - start >= 2)
+        inner &= (visible | lead)[np.minimum(start + 1, len(data) - 1)] & (visible[end - 1] | lead[np.maximum(end - 2, 0)])
+        order = np.concatenate([np.flatnonzero(inner), np.flatnonzero(~inner)])
+        h, start, length, joined = h[order], start[order], (end - start)[order], int(inner.sum())
+        ends = np.cumsum(length)
+        source = np.arange(int(ends[-1])) + np.repeat(start - (ends - length), length)
+        raw = data[source].tobytes()
+        cut = np.unique(np.searchsorted(ends[:joined], np.arange(1 << 16, ends[joined - 1] + (1 << 16), 1 << 16), "left").clip(max=joined - 1)) if joined else []
+        cuts = [0, *ends[cut].tolist()] if joined else [0]
+        cuts += ends[joined:].tolist()
+        texts = [raw[i:j].decode() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)])
+        reach = np.cumsum(self.bytes_of[ids])
+        last = np.searchsorted(reach, ends)
+        if not np.array_equal(reach[last], ends):
+            raise ValueError("this tokenizer's tokens don't add up to the text's bytes")
+        size = np.diff(np.concatenate([[-1], last]))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        every = np.concatenate([self.hash, h])
+        sort = np.argsort(every)
+        self.hash = every[sort]
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(size) - size])[sort]
+        self.size = np.concatenate([self.size, size])[sort]
+        self.used += len(ids)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a text column, each text ended by END, and the number of ids of each text."""
         data, offsets = string_buffers(column)
-        starts, rows = pieces(data, offsets)
+        starts, rows = pieces(data, offsets, self.marks)
         n = len(offsets) - 1
+        if not len(starts):
+            return np.full(n, END, np.uint32), np.ones(n, np.int64)
         h = _hashes(data, starts)
-        if len(self.known) > self.most:
-            self.known.clear()
+        if len(self.hash) > self.most:
+            self._forget()
         unique, place, inverse = np.unique(h, return_index=True, return_inverse=True)
-        new = [(k, i) for k, i in zip(unique.tolist(), place.tolist(), strict=True) if k not in self.known]
-        if new:
-            ends = np.append(starts[1:], len(data))
-            texts = [data[starts[i] : ends[i]].tobytes().decode() for _, i in new]
-            for (k, _), e in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                self.known[k] = np.array(e.ids, np.uint32)
-        own = [self.known[k] for k in unique.tolist()]
-        size = np.array([len(x) for x in own], np.int64)
-        begin = np.cumsum(size) - size
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        length = size[inverse]
-        per_row = np.bincount(rows, length, n).astype(np.int64) if len(rows) else np.zeros(n, np.int64)
-        total = int(length.sum())
-        source = np.arange(total) + np.repeat(begin[inverse] - (np.cumsum(length) - length), length)
-        out = np.full(total + n, END, np.uint32)
-        out[np.arange(total) + np.repeat(np.arange(n), per_row)] = flat[source]
+        new = ~member(self.hash, unique)
+        if new.any():
+            self._learn(unique[new], data, starts[place[new]], np.append(starts[1:], len(data))[place[new]])
+        at = np.searchsorted(self.hash, unique)
+        length = self.size[at][inverse]
+        ends = np.cumsum(length)
+        per_row = np.diff(np.concatenate([[0], ends])[np.searchsorted(rows, np.arange(n + 1))])
+        source = np.repeat(self.begin[at][inverse] - (ends - length), length)
+        source += np.arange(len(source))
+        out = np.full(len(source) + n, END, np.uint32)
+        stop = np.zeros(len(out), bool)
+        stop[np.cumsum(per_row + 1) - 1] = True
+        out[~stop] = self.flat[source]
         return out, per_row + 1
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each piece of the texts begins, and its row: at a text's begin, and at single spaces between visible characters.
+def _visible(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Visible ASCII bytes, and first bytes of two-byte characters from U+00C0 on."""
+    return (data >= 0x21) & (data <= 0x7E), (data >= 0xC3) & (data <= 0xDF)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where each piece of the texts begins, and its row: at a text's begin, at single spaces between visible characters, and at
+    marks (a table of bytes: ASCII punctuation) behind a letter.
 
     Visible here: ASCII 0x21 to 0x7E, and two-byte characters from U+00C0 on; neither holds any white space.
     """
@@ -93,12 +148,15 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin = offsets[:-1][np.diff(offsets) > 0]
     cut = np.zeros(n, bool)
     if n > 2:
-        visible = (data >= 0x21) & (data <= 0x7E)
-        lead = (data >= 0xC3) & (data <= 0xDF)
+        visible, lead = _visible(data)
         before = visible.copy()
         before[1:] |= lead[:-1]  # the second byte of such a character
         cut[1:-1] = (data[1:-1] == 0x20) & before[:-2] & (visible | lead)[2:]
         cut[offsets[1:-1][offsets[1:-1] < n] - 1] = False  # the space is a text's last character
+        if marks is not None:
+            letter = ((data | 0x20) >= 97) & ((data | 0x20) <= 122)
+            letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # U+00C0 to U+00FF without the two signs
+            cut[1:] |= marks[data[1:]] & letter[:-1]
     cut[begin] = True
     starts = np.flatnonzero(cut)
     return starts, np.searchsorted(offsets, starts, "right") - 1
@@ -143,14 +201,18 @@ def compress(ids: np.ndarray, rounds: int = 3, most: int = 4096, least: int = 8)
             break
         often = often[np.argsort(-count[often], kind="stable")[:most]]
         chosen = np.sort(ordered[first[often]])
-        at = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        hit = np.flatnonzero((chosen[at] == code) & inner)
+        maybe = np.zeros(1 << 18, bool)  # a cheap sieve before the search
+        maybe[(mix(chosen) >> U64(46)).astype(np.int64)] = True
+        hit = np.flatnonzero(maybe[(mix(code) >> U64(46)).astype(np.int64)] & inner)
+        at = np.minimum(np.searchsorted(chosen, code[hit]), len(chosen) - 1)
+        same = chosen[at] == code[hit]
+        hit, at = hit[same], at[same]
         # of overlapping places, every other one from the left
         new_run = np.concatenate([[True], np.diff(hit) > 1])
         begin = np.flatnonzero(new_run)
         parity = np.arange(len(hit)) - np.repeat(begin, np.diff(np.append(begin, len(hit))))
-        hit = hit[parity % 2 == 0]
-        used, symbol = np.unique(at[hit], return_inverse=True)
+        hit, at = hit[parity % 2 == 0], at[parity % 2 == 0]
+        used, symbol = np.unique(at, return_inverse=True)
         pair = np.stack([(chosen[used] >> U64(32)).astype(np.uint32), chosen[used].astype(np.uint32)], axis=1)
         seq = seq.copy()
         seq[hit] = TERMINALS + len(rules) + symbol.astype(np.uint32)
@@ -244,7 +306,7 @@ def _write(path: str | None, block_ids: int, rounds: int):
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(every)], pa.int64()), pa.array([write_block(doc_ids, np.concatenate(counts), every, rounds)], pa.binary())], schema=BLOCK_SCHEMA)
 
         for whole in batches:
-            step = max(1, int(whole.num_rows * (2 << 20) / max(1, whole.nbytes)))
+            step = max(1, int(whole.num_rows * (8 << 20) / max(1, whole.nbytes)))
             for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 x, n = encoder.encode(batch["text"])
                 doc_ids += batch["doc_id"].to_pylist()
