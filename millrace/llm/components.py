@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import stored
 
+ROWS_PER_FILE = 250_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hangs the larger (or, in the small star, the smaller) neighbours of each node on its smallest one."""
@@ -31,7 +33,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     nodes = now
     state = None
     for _ in range(rounds):
-        now = stored(_star(_star(now, True), False), "edges")
+        files = now.count() // ROWS_PER_FILE + 1  # rounds have fewer and fewer edges: no swarm of tiny files
+        now = stored(_star(_star(now, True), False).coalesce(files), "edges")
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == state:
             break
