@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, the one of the smallest doc_id."""
-    return ngram_jaccard.keep_one(docs)
+    """One row of each group of linked rows stays, the one of the smallest doc_id; a null or repeated doc_id loses no text of its own."""
+    return ngram_jaccard.keep_texts(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,8 +45,8 @@ from millrace.llm.shared import (
 from millrace.llm.words import Words, mix, window_starts, windows
 
 LOW = U64((1 << LOW_BITS) - 1)
-SETS = "doc_id long, n long, s1 long, s2 long, prefix int, tokens binary"
-SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.int32()), ("tokens", pa.binary())])
+SETS = "doc_id long, h long, n long, s1 long, s2 long, prefix int, tokens binary"
+SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.int32()), ("tokens", pa.binary())])
 EDGES_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -143,7 +143,7 @@ def _make_sets(n: int, percent: int, buckets: int):
                 out["prefix"].append(None)
                 out["tokens"].append(None)
             lo = hi
-        return columns(SETS_SCHEMA, doc_id=table["doc_id"].combine_chunks(), **out)
+        return columns(SETS_SCHEMA, doc_id=table["doc_id"].combine_chunks(), h=table["h"].combine_chunks(), **out)
 
     return make
 
@@ -232,22 +232,17 @@ def _link_blocks(percent: int):
     return run
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75, max_sets: int = 4096, max_tokens: int = 4 << 20, group_bytes: int = 4 << 20) -> DataFrame:
-    """Groups documents whose shingle sets link: 100 * intersection >= percent * union.
-
-    docs: doc_id, text. Returns a row per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-    """
-    spark = docs.sparkSession
+def _sets(docs: DataFrame, n: int, percent: int, group_bytes: int) -> DataFrame:
+    """A row per row of docs: doc_id, h (the text's hash) and its set; tokens is null where too few shingles are shared."""
     groups = group_count(docs, group_bytes)
-    texts = grouped(docs, groups)
+    texts = grouped(docs, groups).withColumn("h", F.xxhash64("text"))
     sent = texts.groupBy("g").applyInArrow(_send_shingles(n, groups), MESSAGE)
     shared = sent.groupBy("b").applyInArrow(_answer_shingles, REPLY)
-    sets = stored(texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_make_sets(n, percent, groups), SETS), "sets")
+    return stored(texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_make_sets(n, percent, groups), SETS), "sets")
 
-    classes = stored(sets.where("n > 0 and tokens is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    one = sets.where("tokens is not null").join(classes.where("id is not null"), ["s1", "s2", "n"]).where("doc_id = id").select("id", "s1", "s2", "n", "prefix", "tokens").dropDuplicates(["s1", "s2", "n"])
-    one = stored(one.select("id", "n", "prefix", "tokens"), "one")
 
+def _roots(one: DataFrame, percent: int, max_sets: int, max_tokens: int) -> DataFrame:
+    """(id, component) of the sets `one` (id, n, prefix, tokens) that link with others; component is the smallest id reachable."""
     tokens = one.select("id", "prefix", "tokens").mapInArrow(_prefixes, "t long, id long")
     least = tokens.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("top")).where("lo < top").select("t", "lo")
     maybe = components(tokens.join(least, "t").where("id != lo").select(F.col("id").alias("u"), F.col("lo").alias("v")))
@@ -258,17 +253,56 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75, max_sets: int
     dealt = one.join(maybe, "id").join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "n", "tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = F.pmod(F.xxhash64("component", "lo", "hi"), F.lit(4 * parts)).cast("int")
     links = dealt.withColumn("k", k).groupBy("k").applyInArrow(_link_blocks(percent), "u long, v long")
-    roots = components(links)
+    return components(links)
+
+
+def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75, max_sets: int = 4096, max_tokens: int = 4 << 20, group_bytes: int = 4 << 20) -> DataFrame:
+    """Groups documents whose shingle sets link: 100 * intersection >= percent * union.
+
+    docs: doc_id, text. Returns a row per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+    """
+    sets = _sets(docs, n, percent, group_bytes)
+
+    classes = stored(sets.where("n > 0 and tokens is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
+    one = sets.where("tokens is not null").join(classes.where("id is not null"), ["s1", "s2", "n"]).where("doc_id = id").select("id", "s1", "s2", "n", "prefix", "tokens").dropDuplicates(["s1", "s2", "n"])
+    one = stored(one.select("id", "n", "prefix", "tokens"), "one")
+    roots = _roots(one, percent, max_sets, max_tokens)
 
     node = classes.join(roots, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     return sets.select("doc_id", "n", "s1", "s2").join(node, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """Of each group of linked documents, the one of the smallest doc_id; of rows that repeat it, one."""
+    """One row a doc_id: of each group of linked documents, the one of the smallest doc_id; of rows that repeat it, one.
+
+    Rows without a doc_id, and other texts of a doc_id that is repeated, go; keep_texts keeps them.
+    """
     first = ngram_jaccard(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def keep_texts(docs: DataFrame, n: int = 5, percent: int = 75, max_sets: int = 4096, max_tokens: int = 4 << 20, group_bytes: int = 4 << 20) -> DataFrame:
+    """Of each group of linked rows one: the smallest doc_id (null last), then the smallest text hash, then the smallest row hash.
+
+    A row is a node of its own whatever its doc_id, so a null or repeated doc_id neither drops a text nor links two.
+    Rows without words link with nothing and all stay.
+    """
+    sets = _sets(docs, n, percent, group_bytes)
+    key = ["_none", "_id", "_h"]  # of a row: doc_id is null, doc_id, hash of the text
+    own = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("h").alias("_h")]
+    linked = sets.where("n > 0 and tokens is not null").select(*own, "n", "s1", "s2", "prefix", "tokens")
+    classes = linked.groupBy("s1", "s2", "n").agg(F.min(F.struct(*key)).alias("row"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    one = linked.join(classes, ["s1", "s2", "n"]).where(F.struct(*key) == F.col("row")).dropDuplicates(["s1", "s2", "n"])
+    roots = _roots(stored(one.select("id", "n", "prefix", "tokens"), "one"), percent, max_sets, max_tokens)
+
+    first = classes.join(roots, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("row").alias("row")).select("row.*")
+    first = first.union(sets.where("n > 0 and tokens is null").select(*own))  # no other row has such a set
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.isNull().alias("_none"), F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64("text").alias("_h"), F.struct(*docs.columns).alias("_row"))
+    kept = rows.join(first, key, "left_semi").groupBy(*key).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+    return kept.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")))

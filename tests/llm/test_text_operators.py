@@ -87,6 +87,39 @@ def test_keep_one(docs, rows):
     assert len(ids) == len(set(ids)) and set(ids) == {c for _, _, c in brute_components(rows) if c is not None}
 
 
+def test_keep_texts_of_null_and_repeated_ids(spark, docs, rows):
+    import corpus_pipeline
+
+    def want(rows):
+        sets = []
+        for i, (_, t, *_) in enumerate(rows):
+            w = words(t, True)
+            sets.append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+        group = list(range(len(rows)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    group = [group[j] if g == group[i] else g for g in group]
+        out = defaultdict(set)
+        for g, (d, *_) in zip(group, rows, strict=True):
+            out[g].add((d is None, d or 0))
+        return Counter(None if min(ds)[0] else min(ds)[1] for ds in out.values())
+
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == want(rows)
+    r = random.Random(9)
+    text = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(8)]
+    near = [" ".join([*text[5].split()[:-k], *["zz"] * k]) for k in (4, 8)]  # near[1] links with text[5] through near[0] only
+    own = [(3, text[0]), (4, text[0]), (4, text[1]), (None, text[2]), (None, text[3]), (None, text[3]), (None, text[0]), (7, text[4]), (7, text[4])]
+    own += [(8, text[5]), (None, near[0]), (9, near[1]), (4, text[6])]
+    for parts in (1, 5):
+        kept = ngram_jaccard.keep_texts(spark.createDataFrame(own, "doc_id long, text string").repartition(parts), group_bytes=1 << 9)
+        got = [tuple(x) for x in kept.collect()]
+        assert key(got) == key([(3, text[0]), (4, text[1]), (4, text[6]), (None, text[2]), (None, text[3]), (7, text[4]), (8, text[5])])
+    assert Counter(x[0] for x in got) == want(own)
+    assert ngram_jaccard.keep_texts(docs.limit(0)).collect() == []
+
+
 def test_links_against_all_pairs():
     r = random.Random(1)
     for _ in range(20):
