@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by doc_id; each partition is a shard, cut into blocks of about `block_ids` ids. A block
 holds whole documents, each ended by id 0. In a block, frequent pairs of neighbouring ids are replaced by nonterminals,
-again and again, and the block stores the rules, the length that each symbol expands to, and the remaining sequence;
+again and again until no pair stands 8 times, and the block stores the rules, the length that each symbol expands to, and the remaining sequence;
 so any range of ids is decoded by summing lengths and expanding only the symbols that it meets.
 
 Block format, little-endian: magic b"RPB1"; four uint32: documents, rules, symbols, terminals (ids under it are ids);
@@ -181,48 +181,100 @@ def _hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # ---- Re-Pair ----
 
 
-def compress(ids: np.ndarray, rounds: int = 3, most: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, lengths, symbols): in each round the `most` most frequent pairs that stand `least` times or more are replaced.
+class _Places:
+    """The frequent pairs of neighbours by number: how often each still stands, and where it stood when it was found."""
+
+    def __init__(self, n: int, least: int):
+        self.number, self.least = np.full(n, -1, np.int32), least  # of each position's pair
+        self.pair, self.count = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, left: np.ndarray, right: np.ndarray, position: np.ndarray) -> None:
+        """Numbers the pairs among these that stand `least` times; none of them was seen before."""
+        if not len(left):
+            return
+        bits, low = max(int(left.max()), int(right.max())).bit_length(), int(position[-1]).bit_length()
+        if 2 * bits + low <= 64:  # pair and position in one number: a plain sort is much faster than one of indices
+            code = left.astype(np.uint64) << U64(bits + low)
+            code |= right.astype(np.uint64) << U64(low)
+            code |= position.astype(np.uint64)
+            code.sort()
+            where = (code & U64((1 << low) - 1)).astype(np.int32)
+            code >>= U64(low)
+        else:
+            bits = 32
+            code = (left.astype(np.uint64) << U64(32)) | right
+            order = np.argsort(code)
+            code, where = code[order], position[order]
+        first, count = runs(code)
+        often = count >= self.least
+        found, size = code[first[often]], count[often]
+        where = where[np.repeat(often, count)]
+        self.number[where] = np.repeat(np.arange(len(self.count), len(self.count) + len(size), dtype=np.int32), size)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.count = np.concatenate([self.size, size]), np.concatenate([self.count, size])
+        self.pair = np.concatenate([self.pair, np.stack([found >> U64(bits), found & U64((1 << bits) - 1)], axis=1).astype(np.uint32)])
+        self.flat = np.concatenate([self.flat, where])
+
+    def remove(self, position: np.ndarray) -> None:
+        number = self.number[position]
+        self.count -= np.bincount(number[number >= 0], minlength=len(self.count))
+        self.number[position] = -1
+
+    def of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of these pairs in ascending order, and their numbers."""
+        size = self.size[chosen]
+        number = np.repeat(chosen, size)
+        at = self.flat[np.repeat(self.begin[chosen] - (np.cumsum(size) - size), size) + np.arange(len(number))]
+        still = self.number[at] == number
+        both = np.sort((at[still].astype(np.uint64) << U64(32)) | number[still].astype(np.uint64))
+        return (both >> U64(32)).astype(np.int32), both.astype(np.int32)
+
+
+def compress(ids: np.ndarray, rounds: int | None = None, most: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, lengths, symbols): in each round the `most` most frequent pairs that stand `least` times or more are replaced,
+    until no pair stands so often (or for `rounds` rounds).
 
     A pair never spans a document's end. Rule r is symbol TERMINALS + r and stands for the two symbols of its row.
+    Replacing makes pairs with a new symbol, and only those can become frequent: a round counts just the places that it changes.
+    The sequence is linked by `after` and `before` and not moved.
     """
-    seq = ids.astype(np.uint32)
-    rules = np.zeros((0, 2), np.uint32)
-    lengths = np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        code = (seq[:-1].astype(np.uint64) << U64(32)) | seq[1:]
-        inner = (seq[:-1] != END) & (seq[1:] != END)
-        ordered = np.sort(code[inner])
-        first, count = runs(ordered)
-        often = np.flatnonzero(count >= least)
+    n = len(ids)
+    seq = np.append(ids, END).astype(np.uint32)  # position n ends all
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    gone = np.zeros(n + 1, bool)
+    lengths, rules = np.ones(TERMINALS, np.uint32), [np.zeros((0, 2), np.uint32)]
+    places, done = _Places(n, least), 0
+
+    def look(position: np.ndarray) -> None:
+        position = position[(seq[position] != END) & (seq[after[position]] != END)]
+        places.add(seq[position], seq[after[position]], position)
+
+    look(np.arange(n, dtype=np.int32))
+    while done != rounds:
+        done += 1
+        often = np.flatnonzero(places.count >= least)
         if not len(often):
             break
-        often = often[np.argsort(-count[often], kind="stable")[:most]]
-        chosen = np.sort(ordered[first[often]])
-        maybe = np.zeros(1 << 18, bool)  # a cheap sieve before the search
-        maybe[(mix(chosen) >> U64(46)).astype(np.int64)] = True
-        hit = np.flatnonzero(maybe[(mix(code) >> U64(46)).astype(np.int64)] & inner)
-        at = np.minimum(np.searchsorted(chosen, code[hit]), len(chosen) - 1)
-        same = chosen[at] == code[hit]
-        hit, at = hit[same], at[same]
+        hit, at = places.of(np.sort(often[np.argsort(-places.count[often], kind="stable")[:most]]))
         # of overlapping places, every other one from the left
-        new_run = np.concatenate([[True], np.diff(hit) > 1])
-        begin = np.flatnonzero(new_run)
+        begin = np.flatnonzero(np.concatenate([[True], after[hit[:-1]] != hit[1:]]))
         parity = np.arange(len(hit)) - np.repeat(begin, np.diff(np.append(begin, len(hit))))
         hit, at = hit[parity % 2 == 0], at[parity % 2 == 0]
         used, symbol = np.unique(at, return_inverse=True)
-        pair = np.stack([(chosen[used] >> U64(32)).astype(np.uint32), chosen[used].astype(np.uint32)], axis=1)
-        seq = seq.copy()
-        seq[hit] = TERMINALS + len(rules) + symbol.astype(np.uint32)
-        size = lambda s: np.where(s < TERMINALS, 1, lengths[np.maximum(s, TERMINALS).astype(np.int64) - TERMINALS]) if len(lengths) else np.ones(s.shape, np.uint32)  # noqa: E731, B023
-        lengths = np.concatenate([lengths, size(pair).sum(axis=1).astype(np.uint32)])
-        rules = np.concatenate([rules, pair])
-        keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
-        seq = seq[keep]
-    return rules, lengths, seq
+        pair, second = places.pair[used], after[hit]
+        seq[hit] = len(lengths) + symbol
+        lengths = np.concatenate([lengths, lengths[pair].sum(axis=1, dtype=np.uint32)])
+        rules.append(pair)
+        gone[second] = True
+        after[hit] = after[second]
+        before[after[hit]] = hit
+        beside = before[hit]
+        changed = np.sort(np.concatenate([hit, beside[beside >= 0]]))
+        changed = changed[runs(changed)[0]]
+        places.remove(np.concatenate([changed, second]))
+        look(changed)
+    return np.concatenate(rules), lengths[TERMINALS:], seq[:-1][~gone[:-1]]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
@@ -240,8 +292,8 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
         symbols = out
 
 
-def write_block(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, rounds: int = 3) -> bytes:
-    rules, lengths, symbols = compress(ids, rounds)
+def write_block(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    rules, lengths, symbols = compress(ids)
     head = np.array([len(counts), len(rules), len(symbols), TERMINALS], "<u4")
     known = np.array([i is not None for i in doc_ids], np.uint8)
     own = np.array([i or 0 for i in doc_ids], "<i8")
@@ -289,7 +341,7 @@ class Block:
 _encoders: dict[str | None, Encoder] = {}
 
 
-def _write(path: str | None, block_ids: int, rounds: int):
+def _write(path: str | None, block_ids: int):
     def write(batches):
         from pyspark import TaskContext
 
@@ -303,7 +355,7 @@ def _write(path: str | None, block_ids: int, rounds: int):
 
         def row():
             every = np.concatenate(ids)
-            return pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(every)], pa.int64()), pa.array([write_block(doc_ids, np.concatenate(counts), every, rounds)], pa.binary())], schema=BLOCK_SCHEMA)
+            return pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(every)], pa.int64()), pa.array([write_block(doc_ids, np.concatenate(counts), every)], pa.binary())], schema=BLOCK_SCHEMA)
 
         for whole in batches:
             step = max(1, int(whole.num_rows * (8 << 20) / max(1, whole.nbytes)))
@@ -322,12 +374,12 @@ def _write(path: str | None, block_ids: int, rounds: int):
     return write
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, block_ids: int = 1 << 20, rounds: int = 3, shard_bytes: int = 16 << 20) -> None:
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, block_ids: int = 1 << 20, shard_bytes: int = 16 << 20) -> None:
     """Writes the ids of docs (doc_id, text), in ascending doc_id order, as blocks of Parquet files in `folder`. path: the tokenizer's file."""
     shards = max(1, -(-text_bytes(docs) // shard_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows.mapInArrow(_write(path, block_ids, rounds), BLOCK).write.option("compression", "zstd").parquet(folder)
+    rows.mapInArrow(_write(path, block_ids), BLOCK).write.option("compression", "zstd").parquet(folder)
 
 
 def _read(batches):

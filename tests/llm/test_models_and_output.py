@@ -199,6 +199,22 @@ def test_repair_round_trip():
         assert np.array_equal(block.slice(i, n), x[i : i + n])
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = random.Random(11)
+    passage = [r.randint(1, 40_000) for _ in range(1000)]
+    copies = np.array([x for _ in range(64) for x in [*passage, 0]], np.uint32)
+    rules, _, symbols = token_output.compress(copies)  # the values that files are written with
+    assert np.array_equal(token_output.expand(symbols, rules), copies) and len(symbols) <= 64 * 4
+    words = [[r.randint(1, 300) for _ in range(r.randint(1, 30))] for _ in range(200)]
+    mixed = np.array([x for _ in range(6000) for x in [*r.choice(words), *([0] if r.random() < 0.05 else [])]], np.uint32)
+    for most in (3, 4096):
+        rules, lengths, symbols = token_output.compress(mixed, most=most)
+        left = Counter(zip(symbols.tolist(), symbols[1:].tolist(), strict=False))
+        assert max(n for (a, b), n in left.items() if a and b) < 8 and len({tuple(x) for x in rules.tolist()}) == len(rules)
+        assert np.array_equal(token_output.expand(symbols, rules), mixed)
+        assert lengths.tolist() == [len(token_output.expand(np.array([token_output.TERMINALS + i], np.uint32), rules)) for i in range(len(rules))]
+
+
 def test_toxicity(spark, no_docs):
     r = random.Random(7)
     good = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
