@@ -191,6 +191,25 @@ def test_license_scan(spark, no_docs):
     assert license_scan.report(no_docs).collect() == []
 
 
+def test_license_notices_with_a_changed_lost_or_inserted_word(spark):
+    texts = {
+        "Licensed under the BSD 3-Clause License": "bsd",
+        "licensed under a BSD license": "bsd",
+        "Distributed under the GNU Lesser General Public License": "lgpl",
+        "available under the GNU Affero General Public License": "agpl",
+        "Licensed under the GNU Lesser General Public License version 3": "lgpl",
+        "This source form is subject to the terms of the Mozilla Public License": "mpl",
+        "available under CC BY-SA 4.0": "cc-by,cc-by-sa",
+        "licensed under cc by nc sa 4 0": "cc-by",
+        "the BSD sockets are described here": "",
+        "a GNU Lesser General Public License text is printed in this book": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.report(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    assert license_scan.edits([b"a", b"b", b"c"], [b"a", b"x", b"c", b"d"]) == 1 and license_scan.edits([b"a"], []) == 1
+
+
 def test_quality_rules(spark, docs, rows, no_docs):
     junk = [(1000 + i, "Xy Xy " * 200, "en", "s1", 1, 7, 9, "x") for i in range(8)] + [(2000 + i, "word*** other### more&&& " * 40 + str(i), "en", "s1", 1, 7, 9, "x") for i in range(8)]
     r = random.Random(4)
