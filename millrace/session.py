@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Arrow batches between the JVM and Python workers; Spark's own bound of 64 MB is held several times over in every task.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def session(master: str | None = None, app: str = "millrace") -> SparkSession:
@@ -21,8 +23,12 @@ def session(master: str | None = None, app: str = "millrace") -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in the executors' Python workers, once an application."""
+    """Makes this package importable in the executors' Python workers, once an application, and bounds the session's Arrow batches unless it
+    has a bound of its own."""
     context = spark.sparkContext
+    name, bound = BATCH_BYTES
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, bound)
     if context.applicationId in _shipped:
         return spark
     _shipped.add(context.applicationId)
