@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 # What a unit is, and the size limits of vocabulary entries.
-UNIT = r"(?U)\s+|[\p{L}\p{N}_ ‌‍]+|[^\p{L}\p{N}_\s]+"
+UNIT = r"(?U)\s+|[\p{L}\p{N}_\x{200C}\x{200D}]+|[^\p{L}\p{N}_\s]+"
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
 PAD, UNK, BOS, EOS = range(4)
 UNIT_BYTES, SOURCE_UNITS, PIECE_CHARACTERS, CHARACTER_PIECES = 64, 20_000, 8, 1000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,8 +159,6 @@ def g15_ablation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g15_source_copy_ratio")
 def g15_source_copy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike the two sides of each pair are: twice the matching blocks over both lengths, 0.9 and more being a copy."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

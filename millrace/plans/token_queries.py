@@ -9,7 +9,7 @@ from millrace.functions import ids
 from millrace.operators import tokenizer
 from millrace.plans.catalog import register, table
 
-UNITS_SQL = r"u AS (SELECT unnest(regexp_extract_all(text, '\s+|[\p{L}\p{N}_ \x{200C}\x{200D}]+|[^\p{L}\p{N}_\s]+')) AS unit FROM documents), units AS (SELECT unit, count(*)::BIGINT AS n FROM u WHERE strlen(unit) <= 64 GROUP BY unit)"
+UNITS_SQL = r"u AS (SELECT unnest(regexp_extract_all(text, '\s+|[\p{L}\p{N}_\x{200C}\x{200D}]+|[^\p{L}\p{N}_\s]+')) AS unit FROM documents), units AS (SELECT unit, count(*)::BIGINT AS n FROM u WHERE strlen(unit) <= 64 GROUP BY unit)"
 CHARS_SQL = "chars AS (SELECT character, sum(n)::BIGINT AS n FROM (SELECT unnest(string_split(unit, '')) AS character, n FROM units) GROUP BY character)"
 PIECES_SQL = r"""long AS (SELECT unit, n FROM units WHERE length(unit) BETWEEN 3 AND 48 AND NOT regexp_matches(unit, '^\s+$') ORDER BY n * greatest(1, strlen(unit) - 1) DESC, encode(unit) LIMIT 20000),
 k AS (SELECT unit, n, unnest(range(2, least(8, length(unit) - 1) + 1)) AS k FROM long), i AS (SELECT unit, n, k, unnest(range(1, length(unit) - k + 2)) AS i FROM k),
