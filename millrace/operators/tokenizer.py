@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -94,46 +95,81 @@ class Trie:
         return b"".join(self.pieces[i] for i in ids if i not in (PAD, BOS, EOS)).decode()
 
 
-ROLE = re.compile(r"(?m)^<(system|user|assistant|tool)>\n")
-CALL = re.compile(r"<tool_call>.*?</tool_call>", re.DOTALL)
+TEXT_END = r"\Z"
+#: Of each kind of record: the patterns whose group 1 bears loss, the rule's name, and the rule's name where none is found (None: an error).
+SPANS = {
+    "reasoning": ((re.compile(r"<reasoning>\n?(.*)" + TEXT_END, re.DOTALL),), "reasoning_answer_only", None),
+    "translated": ((re.compile(r"<observation>\s*(.*)</observation>", re.DOTALL),), "translated_observation_only", None),
+    "agentic": (
+        (re.compile(r"^<assistant>\n(.*?)(?=^<(?:system|user|assistant|tool)>\n|" + TEXT_END + ")", re.DOTALL | re.MULTILINE), re.compile(r"(<tool_call>.*?</tool_call>)", re.DOTALL)),
+        "assistant_origin_only",
+        "agentic_context_only",
+    ),
+}
+ZERO, FULL = "never_train_zero_loss", "full_text_causal"
 
 
-def supervised_spans(text: str, kind: str) -> list[tuple[int, int]] | None:
-    """Character spans that bear loss; None for plain text. kind: reasoning, translated, agentic or plain."""
-    if kind == "reasoning":
-        at = text.find("<reasoning>")
-        if at < 0:
-            raise ValueError("no reasoning marker")
-        at += len("<reasoning>")
-        return [(at + text.startswith("\n", at), len(text))]
-    if kind == "translated":
-        at, end = text.find("<observation>"), text.rfind("</observation>")
-        if at < 0 or end <= at:
-            raise ValueError("no observation span")
-        at += len("<observation>")
-        return [(end - len(text[at:end].lstrip()), end)]
-    if kind == "agentic":
-        marks = [(m.start(), m.end(), m.group(1)) for m in ROLE.finditer(text)] + [(len(text), len(text), "")]
-        spans = [(e, marks[i + 1][0]) for i, (_, e, role) in enumerate(marks[:-1]) if role == "assistant"]
-        return sorted(spans + [m.span() for m in CALL.finditer(text) if not any(a <= m.start() and m.end() <= b for a, b in spans)])
-    return None
+def supervised_spans(text: str, kind: str) -> np.ndarray | None:
+    """Character spans (n, 2) that bear loss, ascending, none within another; None for a kind without a pattern: the whole text."""
+    if kind not in SPANS:
+        return None
+    patterns, _, without = SPANS[kind]
+    found = np.array([m.span(1) for p in patterns for m in p.finditer(text)], np.int64).reshape(-1, 2)
+    if without is None and not len(found):
+        raise ValueError(f"no {kind} span")
+    found = found[np.lexsort((-found[:, 1], found[:, 0]))]
+    reach = np.maximum.accumulate(found[:, 1])
+    return found[np.concatenate([[True], found[1:, 1] > reach[:-1]])] if len(found) else found
 
 
-POLICY = {"reasoning": "reasoning_answer_only", "translated": "translated_observation_only"}
+def byte_places(text: str) -> np.ndarray:
+    """Of each character, and of the text's end, how many bytes stand before it."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))]).astype(np.int64)
 
 
 def loss_mask(text: str, spans: list[tuple[int, int]], kind: str, permission: str) -> tuple[list[int], str]:
-    """For each token's byte span, whether it bears loss, and the name of the rule."""
+    """For each token's byte span, whether it bears loss, and the name of the rule: a token must lie within one supervised span. The first
+    token never does; the last one, the end, does if a span reaches it."""
     if permission == "never_train":
-        return [0] * len(spans), "never_train_zero_loss"
+        return [0] * len(spans), ZERO
     own = supervised_spans(text, kind)
-    if own is None:
-        return [0] + [1] * (len(spans) - 1), "full_text_causal"
-    at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).astype(int).tolist() if not text.isascii() else None
-    own = [(a, b) if at is None else (at[a], at[b]) for a, b in own]
-    end = len(text.encode())
-    mask = [0 if i == 0 else int(any(b == end for _, b in own)) if s == e == end else int(any(a <= s and e <= b for a, b in own)) for i, (s, e) in enumerate(spans)]
-    return mask, POLICY.get(kind, "assistant_origin_only" if own else "agentic_context_only")
+    mask = np.ones(len(spans), np.int64)
+    rule = FULL
+    if own is not None:
+        rule = SPANS[kind][1] if len(own) else SPANS[kind][2]
+        begin, end = byte_places(text)[own].T
+        token = np.array(spans, np.int64)
+        before = np.searchsorted(begin, token[:, 0], "right")  # spans that begin at or before the token; the last of them reaches furthest
+        reach = np.concatenate([[-1], end])[before]
+        mask = (reach >= token[:, 1]).astype(np.int64)
+        mask[-1] = int(len(end) > 0 and end[-1] == token[-1, 1])
+    mask[0] = 0
+    return mask.tolist(), rule
+
+
+def tokenizer_hash(vocab: DataFrame) -> str:
+    """The hash of a vocabulary's ids, pieces and kinds: what a stored tokenizer is checked against when it is loaded."""
+    rows = sorted((r.id, bytes(r.piece).hex(), r.kind) for r in vocab.select("id", "piece", "kind").collect())  # of the vocabulary's size
+    return "sha256:" + hashlib.sha256(canonical_json({"specials": list(SPECIALS), "tokens": rows})).hexdigest()
+
+
+def save_vocabulary(vocab: DataFrame, path: str) -> str:
+    """Writes a vocabulary with its hash, and returns the hash."""
+    claimed = tokenizer_hash(vocab)
+    vocab.withColumn("tokenizer_hash", F.lit(claimed)).coalesce(1).write.mode("overwrite").parquet(path)
+    return claimed
+
+
+def load_vocabulary(spark, path: str, expected: str | None = None) -> DataFrame:
+    """A stored vocabulary. An error if its content doesn't give the hash that it claims, or that is expected."""
+    df = spark.read.parquet(path)
+    claims = [r[0] for r in df.select("tokenizer_hash").distinct().collect()]  # one
+    vocab = df.drop("tokenizer_hash")
+    actual = tokenizer_hash(vocab)
+    if claims != [actual] or expected not in (None, actual):
+        raise ValueError("the tokenizer's hash doesn't fit its content")
+    return vocab
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -29,6 +29,48 @@ def test_allocation(spark):
         allocation.difficulty_bands(rows, ["lane"], "n", "record_id", (("B0", "0.5"), ("B1", "0.4"), ("B2", "1")))
 
 
+def test_floors_equal_giving_one_by_one():
+    r = random.Random(4)
+    for _ in range(300):
+        targets = {k: r.randint(0, 30) for k in "abcdef"[: r.randint(1, 6)]}
+        floors = {k: r.choice(["0.05", "0.1", "0.3"]) for k in r.sample("abcdefg", r.randint(0, 3))}
+        total, want, stuck = sum(targets.values()), dict(targets), False
+        least = {k: -(-total * int(100 * Decimal(f)) // 100) for k, f in floors.items()}
+        for lane in sorted(least):
+            while want.get(lane, 0) < least[lane] and not stuck:
+                rich = [(v, k) for k, v in want.items() if k != lane and v > least.get(k, 0)]
+                stuck = not rich
+                if rich:
+                    want[max(rich)[1]] -= 1
+                    want[lane] = want.get(lane, 0) + 1
+        if stuck:
+            with pytest.raises(ValueError):
+                allocation.enforce_floors(targets, floors)
+        else:
+            assert allocation.enforce_floors(targets, floors) == want
+
+
+def test_units_are_pythons(spark):
+    import re
+
+    texts = ["the cat sat, on", "क्\u200dष हिन्दी x\u200cy", "a_b  c\n\n!!\u200d?", "é1 ½²", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.regexp_extract_all("text", F.lit(tokenizer.UNIT), F.lit(0)).alias("u"))
+    want = [re.findall(r"\s+|[\w\u200c\u200d]+|[^\w\s]+", t) for t in texts]
+    assert len(want[0]) == 8 and [r.u for r in df.collect()] == want
+
+
+def test_vocabulary_is_checked_on_load(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some plain words and words")], "doc_id long, text string")
+    vocab = tokenizer.vocabulary(docs, 270)
+    h = tokenizer.save_vocabulary(vocab, f"{tmp_path}/v")
+    assert sorted(map(tuple, tokenizer.load_vocabulary(spark, f"{tmp_path}/v", h).collect())) == sorted(map(tuple, vocab.collect()))
+    with pytest.raises(ValueError):
+        tokenizer.load_vocabulary(spark, f"{tmp_path}/v", "sha256:other")
+    vocab.where("id <> 268").withColumn("tokenizer_hash", F.lit(h)).write.parquet(f"{tmp_path}/w")
+    with pytest.raises(ValueError):
+        tokenizer.load_vocabulary(spark, f"{tmp_path}/w")
+
+
 def test_selection_clips_the_last_and_reports_shortfall(spark):
     supply = spark.createDataFrame([(i, "a", "B0", 10, 1_000_000) for i in range(10)], "record_id long, lane string, band string, loss long, weight_micros long")
     target = spark.createDataFrame([("a", 35)], "lane string, target long")
@@ -47,6 +89,23 @@ def test_packing():
     with pytest.raises(ValueError):
         packing.pack([], 1)
     r = random.Random(1)
+    for _ in range(100):  # token by token
+        length = r.randint(2, 9)
+        records = [(str(i), "s", [r.randint(1, 99) for _ in range(n)], [r.randint(0, 1) for _ in range(n)]) for i, n in enumerate(r.randint(0, 25) for _ in range(r.randint(0, 7)))]
+        now: list[tuple] = []
+        want = [now]
+        for name, _, tokens, loss in records:
+            for i, (t, m) in enumerate(zip(tokens, loss, strict=True)):
+                if len(now) == length:
+                    now = [(tokens[i - 1], 0, name)] if i else []
+                    want.append(now)
+                now.append((t, m, name))
+        out = packing.pack(records, length)
+        assert [[*zip(s["tokens"], s["loss"], strict=True)][: s["nonpadding"]] for s in out] == [[x[:2] for x in w] for w in want if w]
+        for s, w in zip(out, [w for w in want if w], strict=True):
+            names = [x[2] for x in w]
+            assert s["segments"][: len(w)] == [sorted(set(names), key=names.index).index(x) for x in names] and s["segments"][len(w) :] == [-1] * (length - len(w))
+            assert s["positions"][: len(w)] == [i - names.index(x) for i, x in enumerate(names)] and [(f[0], f[6] - f[5], f[4] - f[3] + f[7]) for f in s["fragments"]] == [(x, names.count(x), names.count(x)) for x in sorted(set(names), key=names.index)]
     for _ in range(200):
         length, sizes = r.randint(2, 9), [r.randint(0, 30) for _ in range(r.randint(0, 8))]
         out = packing.pack([(str(i), "s", [7] * n, [1] * n) for i, n in enumerate(sizes)], length)
@@ -67,7 +126,7 @@ def test_batches_use_each_sequence_once():
     stage = {"stage": "s", "length": 256, "target": 5000, "lanes": {"general": 4000, "indic": 800, "agentic": 200}, "tiers": {}}
     out = packing.select_batches(rows, stage, 1024)
     assert sorted(i for b in out for i in b["ids"]) == list(range(37)) and out == packing.select_batches(list(reversed(rows)), stage, 1024)
-    assert packing.zero_slots(1, 7, 4) == 1 and packing.zero_slots(0, 5, 4) == 0
+    assert packing.zero_share(1, 7, 4) == 1 and packing.zero_share(0, 5, 4) == 0 and packing.zero_share(9, 0, 4) == 3 and packing.zero_share(9, 1, 4) == 3
     c = lambda i, score, loss, density, deficit: {"id": i, "score": score, "metrics": {"loss": loss, "loss_density_ppm": density, "floor_deficit": deficit}}
     d = packing.decide([c(0, 5, 10, 400_000, 9), c(1, 4, 10, 400_000, 0), c(2, 99, 0, 0, 0), c(3, 1, 10, 500_000, 3)], 300_000, True)
     assert (d["accepted"]["id"], d["normal"], d["outcome"], d["rejected"], d["deferred"]) == (1, 0, "protected_floor_override", [2], [0, 3])
@@ -83,11 +142,21 @@ def test_tokenizer(spark):
     assert sorted(map(tuple, tokenizer.vocabulary(docs.repartition(5), 320).collect())) == sorted(map(tuple, rows))
     got = tokenizer.encode(docs.withColumns({"kind": F.lit("plain"), "permission": F.lit("train")}), vocab).collect()
     assert all(r.lossless and len(r.tokens) == len(r.loss) and r.loss[0] == 0 and all(r.loss[1:]) for r in got)
-    assert tokenizer.supervised_spans("q\n<reasoning>\nabc", "reasoning") == [(14, 17)] or "q\n<reasoning>\nabc"[tokenizer.supervised_spans("q\n<reasoning>\nabc", "reasoning")[0][0] :] == "abc"
+    t = "q\n<reasoning>\nabc"
+    assert [t[a:b] for a, b in tokenizer.supervised_spans(t, "reasoning")] == ["abc"]
+    with pytest.raises(ValueError):
+        tokenizer.supervised_spans("no marker", "translated")
     t = "x <observation>  kept</observation>"
     assert [t[a:b] for a, b in tokenizer.supervised_spans(t, "translated")] == ["kept"]
     t = "<user>\nhi\n<assistant>\nyes\n<tool>\nout <tool_call>c</tool_call>\n<assistant>\nend"
     assert [t[a:b] for a, b in tokenizer.supervised_spans(t, "agentic")] == ["yes\n", "<tool_call>c</tool_call>", "end"]
+    assert tokenizer.supervised_spans("<user>\nhi", "agentic").tolist() == [] and tokenizer.supervised_spans(t, "plain") is None
+    t = "<assistant>\né<tool_call>a</tool_call>\n<user>\nb"  # a call within a turn is no span of its own
+    spans = [(0, 0), (0, 12), (12, 14), (14, 36), (36, 46), (46, 46)]
+    assert tokenizer.loss_mask(t, spans, "agentic", "train") == ([0, 0, 1, 1, 0, 0], "assistant_origin_only")
+    assert tokenizer.loss_mask(t, spans, "agentic", "never_train") == ([0] * 6, "never_train_zero_loss")
+    assert tokenizer.loss_mask("x", [(0, 0), (0, 1), (1, 1)], "plain", "train") == ([0, 1, 1], "full_text_causal")
+    assert tokenizer.loss_mask("<observation> ab</observation>", [(0, 0), (0, 14), (14, 16), (16, 30), (30, 30)], "translated", "train") == ([0, 0, 1, 0, 0], "translated_observation_only")
     df = spark.createDataFrame([([0, 1, 2, 3, 4], [0, 0, 1, 0, 1], 1)], "t array<int>, m array<int>, k int")
     a, b = tokenizer.clip_to_loss(F.col("t"), F.col("m"), F.col("k"))
     assert tuple(df.select(a, b).first()) == ([0, 1, 2], [0, 0, 1])
