@@ -8,6 +8,7 @@ task's memory grows with the corpus, and the shuffle of the texts is made once a
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import uuid
 
@@ -100,6 +101,15 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(sorted_values)]]))
 
 
+def release() -> None:
+    """At a task's end, gives freed memory back to the system: Python workers are reused and would hold it through the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        return
+
+
 def columns(schema: pa.Schema, **values) -> pa.Table:
     return pa.table([pa.array(values[f.name], f.type) for f in schema], schema=schema)
 

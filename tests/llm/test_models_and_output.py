@@ -177,42 +177,83 @@ def test_pieces_give_the_tokenizers_own_ids():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t, e, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), token_output.Encoder(most=500), random.Random(5)
-    parts = ["a", "the", "Ü", " ", "  ", "\n", "\t", "é", "×", "÷", "'s", "'", "don't", ".", "!!", "&&&", "<|endoftext|>", "|", "12", "3.5", " ", "　", "中", "🙂", " x", "_", "-", "\x85", "\x1c", "İ", "ñ,", "'ll"]
-    for _ in range(60):
-        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(20)] + [None, ""]
-        ids, n = e.encode(pa.array(texts, pa.string()))
-        want = [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
-        assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+    t, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    parts = ["a", "the", "Ü", " ", "  ", "\n", "\t", "é", "×", "÷", "'s", "'", "don't", ".", "!!", "&&&", "<|endoftext|>", "|", "12", "3.5", " ", "　", "中", "🙂", " x", "_", "-", "\x85", "\x1c", "İ", "ñ,", "'ll", "\x00", " unusuallylongword", " exactlysixteen.", " seventeenletters"]
+    for e in (token_output.Encoder(), token_output.Encoder(slots=4, most_ids=50)):  # the second one forgets all the time
+        for _ in range(60):
+            texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(20)] + [None, ""]
+            ids, n = e.encode(pa.array(texts, pa.string()))
+            want = [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+            assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+        assert e.table.shape == (e.slots, 3) and len(e.flat) < 1 << 20
+
+
+def test_long_texts_are_encoded_in_steps(monkeypatch):
+    monkeypatch.setattr(token_output, "STEP", 7)
+    e = token_output.Encoder()
+    texts = ["word and, more words " * 50, None, "x" * 300, "end"]
+    ids, n = e.encode(pa.array(texts))
+    want = [e.tokenizer.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+
+
+def unfolded(x, rules, terminals=300):
+    return token_output.unfold(np.asarray(x, np.uint32), rules, terminals)
 
 
 def test_repair_round_trip():
     r = random.Random(6)
-    for _ in range(100):
-        x = np.array([r.choice([0, 1, 1, 1, 2, 3, 5]) for _ in range(r.randint(0, 400))], np.uint32)
-        rules, lengths, symbols = token_output.compress(x, rounds=6, least=2)
-        assert np.array_equal(token_output.expand(symbols, rules), x) and len(lengths) == len(rules)
-        assert [len(token_output.expand(np.array([token_output.TERMINALS + i], np.uint32), rules)) for i in range(len(rules))] == lengths.tolist()
-        block = token_output.Block(token_output.write_block([None], np.array([len(x)]), x))
-        i = r.randint(0, len(x))
-        n = r.randint(0, len(x) - i)
-        assert np.array_equal(block.slice(i, n), x[i : i + n])
+    for terminals in (300, 70_000):  # pairs of 32 and of 64 bits
+        for _ in range(60):
+            x = np.array([r.choice([0, 1, 1, 1, 2, 3, terminals - 1]) for _ in range(r.randint(0, 400))], np.uint32)
+            rules, lengths, symbols = token_output.compress(x, terminals, least=2)
+            assert np.array_equal(unfolded(symbols, rules, terminals), x) and len(lengths) == len(rules)
+            assert [len(unfolded([terminals + i], rules, terminals)) for i in range(len(rules))] == lengths.tolist()
+            shard = token_output.Shard(token_output.write_shard([None], np.array([len(x)]), x, terminals))
+            assert np.array_equal(shard.ids(), x)
+            i = r.randint(0, len(x))
+            n = r.randint(0, len(x) - i)
+            assert np.array_equal(shard.slice(i, n), x[i : i + n])
 
 
 def test_repair_goes_on_until_no_pair_is_frequent():
     r = random.Random(11)
     passage = [r.randint(1, 40_000) for _ in range(1000)]
     copies = np.array([x for _ in range(64) for x in [*passage, 0]], np.uint32)
-    rules, _, symbols = token_output.compress(copies)  # the values that files are written with
-    assert np.array_equal(token_output.expand(symbols, rules), copies) and len(symbols) <= 64 * 4
+    rules, _, symbols = token_output.compress(copies, 50_257)  # the values that files are written with
+    assert np.array_equal(unfolded(symbols, rules, 50_257), copies) and len(symbols) <= 64 * 4
     words = [[r.randint(1, 300) for _ in range(r.randint(1, 30))] for _ in range(200)]
     mixed = np.array([x for _ in range(6000) for x in [*r.choice(words), *([0] if r.random() < 0.05 else [])]], np.uint32)
-    for most in (3, 4096):
-        rules, lengths, symbols = token_output.compress(mixed, most=most)
-        left = Counter(zip(symbols.tolist(), symbols[1:].tolist(), strict=False))
-        assert max(n for (a, b), n in left.items() if a and b) < 8 and len({tuple(x) for x in rules.tolist()}) == len(rules)
-        assert np.array_equal(token_output.expand(symbols, rules), mixed)
-        assert lengths.tolist() == [len(token_output.expand(np.array([token_output.TERMINALS + i], np.uint32), rules)) for i in range(len(rules))]
+    noise = np.array([r.choice([0, 1, 1, 1, 2, 2, 3]) for _ in range(20_000)], np.uint32)
+    for x in (mixed, noise):
+        for most in (3, 8192):
+            rules, lengths, symbols = token_output.compress(x, 301, most=most)
+            places = Counter(zip(symbols.tolist(), symbols[1:].tolist(), strict=False))
+            assert max(n for (a, b), n in places.items() if a and b) < 8 and len({tuple(x) for x in rules.tolist()}) == len(rules)
+            assert np.array_equal(unfolded(symbols, rules, 301), x)
+            assert lengths.tolist() == [len(unfolded([301 + i], rules, 301)) for i in range(len(rules))]
+
+
+def test_ranges_over_shards_and_partitions(spark, docs, rows, tmp_path):
+    folder = f"{tmp_path}/tokens"
+    token_output.write_tokens(docs, folder, shard_ids=500, part_bytes=10_000)
+    shards = spark.read.schema(token_output.SHARD).parquet(folder)
+    assert shards.select("part").distinct().count() > 2 and shards.count() > shards.select("part").distinct().count()
+    whole = token_output.read_range(spark, folder, 0, 1 << 30)
+    got = sorted(token_output.read_tokens(spark, folder).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in got] == sorted((x[0] for x in rows), key=lambda i: (i is not None, i or 0))
+    for x in got:
+        assert zlib.crc32(whole[x.start : x.start + x.n_tokens].astype("<u4").tobytes()) == x.ids_crc32
+    for start, n in ((0, 1), (490, 30), (3, 5000), (len(whole) - 2, 9)):
+        assert np.array_equal(token_output.read_range(spark, folder, start, n), whole[start : start + n])
+
+
+def test_one_id_fills_many_partitions(spark, tmp_path):
+    many = spark.range(0, 400, 1, 3).selectExpr("cast(null as long) as doc_id", "'the same text every time' as text")
+    token_output.write_tokens(many, f"{tmp_path}/t", part_bytes=1000)
+    parts = spark.read.schema(token_output.SHARD).parquet(f"{tmp_path}/t").groupBy("part").count().count()
+    got = token_output.read_tokens(spark, f"{tmp_path}/t").collect()
+    assert parts > 3 and len(got) == 400 and len({x.start for x in got}) == 400 and len({x.ids_crc32 for x in got}) == 1
 
 
 def test_toxicity(spark, no_docs):
