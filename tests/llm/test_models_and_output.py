@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -81,6 +82,91 @@ def test_url_filter(spark):
     assert {x.verdict for x in url_filter.report(pages.where("url like '%net%'")).collect()} == {"allow"}  # no labelled page
 
 
+def brute_templates(pages, support=8, share=0.02, strength=4.0, z=2.0):
+    """Template and score of each (host, path, label or None), by loops over dictionaries."""
+    shapes = []
+    for host, path, _ in pages:
+        while path.endswith("/"):
+            path = path[:-1]
+        segments = path.split("/")
+        shapes.append((host, tuple(segments[:1] + ["*" if re.search("[0-9]", x) else x for x in segments[1:]])))
+    prefix = [""] * len(pages)
+    done = [len(x[1]) <= 1 for x in shapes]
+    depth = 1
+    while not all(done):
+        here = [(h, prefix[i], x[depth]) if not done[i] and len(x) > depth else None for i, (h, x) in enumerate(shapes)]
+        live = [k for k in here if k]
+        a, b, c, d = Counter(live), Counter(k[:2] for k in live), Counter(k[1:] for k in live), Counter(k[1] for k in live)
+        old = list(prefix)
+        for i, k in enumerate(here):
+            if done[i]:
+                continue
+            if not k or d[old[i]] < support:
+                prefix[i], done[i] = old[i] + "/*" * (len(shapes[i][1]) - depth), True
+            else:
+                kept = (a[k] >= support and a[k] >= share * b[k[:2]]) or (c[k[1:]] >= support and c[k[1:]] >= share * d[k[1]])
+                prefix[i] = old[i] + "/" + (k[2] if kept else "*")
+        depth += 1
+
+    def nodes(key):
+        n = {}
+        for (h, _, label), t in zip(pages, prefix, strict=True):
+            parts = t.split("/")
+            for j in range(1, len(parts) + 1):
+                k = (h if key else None, "/".join(parts[:j]))
+                x = n.setdefault(k, [0, 0])
+                x[0] += label == "allow"
+                x[1] += label is not None
+        far = lambda x, p: abs(x[0] - x[1] * p) > z * math.sqrt(x[1] * p * (1 - p))
+        up = lambda k: (k[0], k[1].rsplit("/", 1)[0]) if k[1] else None
+        side, pool = {}, {}
+        for k, x in n.items():
+            above = n[up(k)] if up(k) else None
+            p = above[0] / max(1, above[1]) if above else 0
+            side[k] = 1 if above is None else 0 if not (x[1] and far(x, p)) else 1 if x[0] > x[1] * p else -1
+            if above is not None and side[k]:
+                y = pool.setdefault((up(k), side[k]), [0, 0])
+                y[0], y[1] = y[0] + x[0], y[1] + x[1]
+        out = {}
+        for k, x in n.items():
+            y = pool.get((up(k), side[k])) if up(k) else None
+            out[k] = (side[k], *(y if y and not far(x, y[0] / max(1, y[1])) else x))
+        return out
+
+    by_host, free = nodes(True), nodes(False)
+    result = []
+    for (host, _, _), t in zip(pages, prefix, strict=True):
+        f = e = 0.5
+        parts = t.split("/")
+        for j in range(1, len(parts) + 1):
+            q = "/".join(parts[:j])
+            (hs, ha, hm), (fs, fa, fm) = by_host[host, q], free[None, q]
+            f = (fa + strength * f) / (fm + strength) if fs else f
+            e = f if fs else e
+            e = (ha + strength * e) / (hm + strength) if hs else e
+        result.append((t, e))
+    return result
+
+
+def test_url_templates_and_scores_by_brute_force(spark):
+    r = random.Random(12)
+    urls = []
+    for _ in range(500):
+        host = r.choice(["a.com", "b.com", "c.org", "d.net", "e.net", "x.example.org"])
+        path = "/" + r.choice(["fr", "de", "es", "en", "shop"]) + "".join("/" + r.choice(["p", "q", "item", str(r.randint(1, 99)), "rare" + r.choice("abcdefghij")]) for _ in range(r.randint(0, 9)))
+        urls.append(f"http://{host}{path}{r.choice(['', '/', '?x=1'])}")
+    urls += ["http://d.net" + "/deep" * 12 + f"/{i}" for i in range(9)] + [None, "http://a.com", urls[0], urls[0]]
+    pages = spark.createDataFrame([(i if i else None, u, "other", "t", 1.0) for i, u in enumerate(urls)], "page_id long, url string, verdict string, template string, score double")
+    got = url_filter.judge(pages).collect()
+    assert got[0].asDict().keys() == {*pages.columns, "_host", "_path", "_rule", "_verdict", "_template", "_score"}
+    label = {x.url: x._verdict if x._rule else None for x in got}
+    want = dict(zip(urls, brute_templates([(x._host, x._path, label[x.url]) for x in sorted(got, key=lambda x: x.page_id or 0)]), strict=True))
+    assert len(got) == len(urls) and any(x._template.count("/") > 9 for x in got)
+    for x in got:
+        t, e = want[x.url]
+        assert x._template == t and math.isclose(x._score, e, abs_tol=1e-9) and (x._rule or x._verdict == ("block" if e < 0.5 else "allow"))
+
+
 def brute_ctw(texts, ask, depth=lm_scoring.DEPTH):
     """log10 P of the texts in `ask`, by the recursive definition over dictionaries."""
     from functools import lru_cache
