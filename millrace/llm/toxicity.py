@@ -5,10 +5,11 @@ Alphanumeric lower-case words and their beginnings of 4 to 7 bytes (stems that s
 max-pooled over the text, and over each segment of 64 words with the mean of the segments, so that a word that slips
 into a long text weighs less than one that runs through it. A logistic layer scores the pooled values.
 
-Training takes at most `per_class` labelled documents a class (those of the smallest hash of doc_id: the same on every
-run), as whole texts of word buckets; that bound, some ten MB, is all that reaches the driver. One dimension of the
-embeddings is set to how much more often than by chance a bucket stands in toxic texts; filters and weights are trained
-by Adam, and every fifth text is kept out to choose the epoch and the thresholds, which are calibrated by language.
+Training takes at most `per_class` labelled documents a class and `class_bytes` of their texts (those of the smallest hash
+of doc_id: the same on every run; texts over `text_bytes` aren't trained on), as whole texts of word buckets; some 1.7 bytes
+a byte of text, 110 MB at the most, reach the driver. One dimension of the embeddings starts at how much more often than by
+chance a bucket stands in toxic texts; embeddings, filters and weights are trained by Adam, and every fifth text is kept
+out to choose the epoch and the thresholds, which are calibrated by language.
 The language is detected from the text's own function words, so lang, source, labels and doc_id are no inputs; a score
 of 0.5 is each language's threshold.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import U64
@@ -84,7 +85,7 @@ class Model:
     def pooled(self, x: np.ndarray, first: np.ndarray, where: bool = False):
         """For each row the largest response of each filter, and the mean over its segments of each segment's largest one."""
         place, begin, segments = self.layout(first)
-        e = np.zeros((segments * SEGMENT + max(WIDTHS), self.embedding.shape[1]), np.float32)
+        e = np.zeros((segments * SEGMENT + max(WIDTHS), self.embedding.shape[1]), self.embedding.dtype)
         if len(x):
             own = self.embedding[x[:, 0]]
             for j in range(1, x.shape[1]):
@@ -123,25 +124,39 @@ def _logits(model: Model, rows: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([model.logit(*_joined(rows[i : i + 256])) for i in range(0, len(rows), 256)])
 
 
-def _gradients(model: Model, rows: list[np.ndarray], toxic: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
-    """Of filters, bias, weight and offset."""
-    h, s, places, e, begin, count = model.pooled(*_joined(rows), True)
+def _gradients(model: Model, rows: list[np.ndarray], toxic: np.ndarray, share: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of filters, bias, weight and offset; and the buckets that matter with the gradients of their embeddings."""
+    x, first = _joined(rows)
+    h, s, places, e, begin, count = model.pooled(x, first, True)
     p = 1 / (1 + np.exp(-np.clip(h @ model.weight + model.offset, -50, 50)))
-    g = ((p - toxic) * share / len(rows)).astype(np.float32)
+    g = ((p - toxic) * share / len(rows)).astype(model.weight.dtype)
     half = s.shape[1]
     row = np.repeat(np.arange(len(rows)), count[:, 0].astype(np.int64))
     top, mean = np.outer(g, model.weight[:half]), np.outer(g, model.weight[half:]) / count
-    ds = (mean[row] + np.where(s == h[row, :half], top[row], 0)) * (s > 0)
+    top_here = s == h[row, :half]
+    ties = np.add.reduceat(top_here.astype(np.float32), begin, axis=0)[row]
+    ds = (mean[row] + np.where(top_here, top[row] / ties, 0)) * (s > 0)
     filters, at, f = np.zeros_like(model.filters), 0, model.f
+    words = np.full(len(e), -1, np.int64)
+    words[model.layout(first)[0]] = np.arange(len(x))
+    where, pull = [], []
     for k, width in enumerate(WIDTHS):
         d = ds[:, k * f : (k + 1) * f]
         for j in range(width):
-            filters[:, at + j * f : at + (j + 1) * f] = np.einsum("sf,sfd->df", d, e[places[k] + j])
+            column = slice(at + j * f, at + (j + 1) * f)
+            filters[:, column] = np.einsum("sf,sfd->df", d, e[places[k] + j])
+            where.append((places[k] + j).ravel())
+            pull.append((d[:, :, None] * model.filters[:, column].T[None]).reshape(-1, e.shape[1]))
         at += width * f
-    return [filters, ds.sum(axis=0), h.T @ g + 1e-4 * model.weight, g.sum(keepdims=True)]
+    word, pulled = words[np.concatenate(where)], np.concatenate(pull)
+    used = (word >= 0) & pulled.any(axis=1)
+    buckets, inverse = np.unique(x[word[used]], return_inverse=True)  # a word's buckets are added up, so each gets its gradient
+    embedding = np.zeros((len(buckets), e.shape[1]), e.dtype)
+    np.add.at(embedding, inverse.reshape(-1), np.repeat(pulled[used], x.shape[1], axis=0))
+    return [filters, ds.sum(axis=0), h.T @ g + 1e-4 * model.weight, g.sum(keepdims=True)], buckets, embedding
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, language: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Model:
+def train(rows: list[np.ndarray], toxic: np.ndarray, language: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.02, embedding_rate: float = 0.003, seed: int = 7) -> Model:
     """A model of texts given as word buckets, with their labels (0 or 1) and languages. Every fifth text is kept out to choose the epoch and to calibrate."""
     model = Model(seed=seed)
     if len(rows) < 10 or min(toxic.sum(), (1 - toxic).sum()) < 2:
@@ -163,22 +178,27 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, language: np.ndarray, epoch
     r = np.random.default_rng(seed)
     parameters = [model.filters, model.bias, model.weight, model.offset]
     state = [(np.zeros_like(q), np.zeros_like(q)) for q in parameters]
+    moments = np.zeros_like(model.embedding), np.zeros_like(model.embedding)
     share = np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
     best, step = (np.inf, []), 0
     for _ in range(epochs):
         order = r.permutation(learn)
         for part in (order[i : i + batch] for i in range(0, len(order), batch)):
             step += 1
-            grads = _gradients(model, [rows[i] for i in part], toxic[part], share[part])
+            grads, buckets, pulled = _gradients(model, [rows[i] for i in part], toxic[part], share[part])
             for q, gq, (m, v) in zip(parameters, grads, state, strict=True):
                 m += 0.1 * (gq - m)
                 v += 0.01 * (gq * gq - v)
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+            m, v = (t[buckets] for t in moments)  # only the buckets of this batch move
+            m, v = m + 0.1 * (pulled - m), v + 0.01 * (pulled * pulled - v)
+            moments[0][buckets], moments[1][buckets] = m, v
+            model.embedding[buckets] -= embedding_rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         z = _logits(model, [rows[i] for i in check])
         loss = float((np.logaddexp(0, np.where(toxic[check] == 1, -z, z)) * share[check]).mean())
         if loss < best[0]:
-            best = (loss, [q.copy() for q in parameters])
-    for q, old in zip(parameters, best[1], strict=True):
+            best = (loss, [q.copy() for q in [*parameters, model.embedding]])
+    for q, old in zip([*parameters, model.embedding], best[1], strict=True):
         q[:] = old
     calibrate(model, [rows[i] for i in check], toxic[check], language[check])
     return model
@@ -212,12 +232,15 @@ def _as_buckets(batches):
         yield pa.record_batch({"x": pa.array(raw, pa.binary()), "language": pa.array(language, pa.int32()), "toxic": batch["toxic"].cast(pa.int32())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, class_bytes: int = 32 << 20, text_bytes: int = 256 << 10) -> Model:
     """A model from the documents that have a label in labels (doc_id, toxic)."""
     known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     pick = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = pick(1).unionAll(pick(0))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    sample = sample.withColumn("size", size).where(F.col("size") <= text_bytes).withColumn("upto", upto).where(F.col("upto") <= class_bytes)
     got = sample.select("text", "toxic").mapInArrow(_as_buckets, "x binary, language int, toxic int").orderBy("x", "toxic").collect()
     return train([np.frombuffer(r.x, "<u2").reshape(-1, 1 + len(BEGINNINGS)) for r in got], np.array([r.toxic for r in got], np.int64), np.array([r.language for r in got], np.int64))
 

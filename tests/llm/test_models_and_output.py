@@ -367,6 +367,48 @@ def test_toxicity(spark, no_docs):
     assert toxicity.report(no_docs, known).collect() == [] and {x.predicted for x in toxicity.report(docs, known.limit(0)).collect()} == {0}
 
 
+def test_toxicity_gradients():
+    """Every gradient against the difference of losses."""
+    r = np.random.default_rng(3)
+    model = toxicity.Model(buckets=50, d=4, f=3)
+    for name in ("embedding", "filters", "bias", "weight", "offset"):
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    model.embedding += r.standard_normal(model.embedding.shape) * 0.5
+    model.weight += r.standard_normal(model.weight.shape) * 0.3
+    rows = [r.integers(0, 50, (n, 5)).astype(np.uint16) for n in (3, 70, 0, 150, 1, 64)]
+    toxic, share = np.array([1, 0, 1, 1, 0, 0]), np.array([1.0, 0.5, 1.0, 1.0, 0.5, 0.5])
+
+    def loss():
+        z = toxicity._logits(model, rows)
+        return (np.logaddexp(0, np.where(toxic == 1, -z, z)) * share).mean() + 0.5e-4 * (model.weight**2).sum()
+
+    grads, buckets, embedding = toxicity._gradients(model, rows, toxic, share)
+    whole = np.zeros_like(model.embedding)
+    whole[buckets] = embedding
+    for parameter, g in zip([model.filters, model.bias, model.weight, model.offset, model.embedding], [*grads, whole], strict=True):
+        flat, want = parameter.reshape(-1), np.asarray(g).reshape(-1)
+        for i in r.choice(len(flat), min(25, len(flat)), replace=False):
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = loss()
+            flat[i] = old - 1e-6
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / 2e-6 - want[i]) < 1e-5 + 1e-3 * abs(want[i])
+
+
+def test_toxicity_long_texts_and_clashing_columns(spark):
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choice(["zonk", "brutz"] if i % 2 and r.random() < 0.3 else ["calm", "words", "here", "and"]) for _ in range(40)), 0.5, 1, "x") for i in range(200)]
+    rows += [(1000, "calm words " * 30_000, 0.5, 1, "x"), (1001, "zonk brutz " * 30_000, 0.5, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic int, predicted string")
+    labels = spark.createDataFrame([(x[0], x[0] % 2, "q") for x in rows], "doc_id long, toxic int, text string")
+    got = {x.doc_id: x for x in toxicity.report(docs, labels).collect()}
+    assert len(got) == 202 and got[1000].predicted == 0 and got[1001].predicted == 1
+    model = toxicity.fit(docs, labels, class_bytes=2000)  # a handful of texts
+    assert toxicity.score_toxicity(docs, model).count() == 202
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 

@@ -233,8 +233,39 @@ def test_quality_rules(spark, docs, rows, no_docs):
     assert quality_rules.report(no_docs).collect() == []
 
 
-def test_label_model_finds_a_rule_nobody_confirms():
-    patterns = [((1, 1, 0), 900), ((0, 0, -1), 100)]
-    share, right = quality_rules.estimate(patterns)
-    assert quality_rules.log_odds(share, right, (1, 1, 0)) > 0 > quality_rules.log_odds(share, right, (0, 0, -1))
-    assert quality_rules.estimate([])[0] == pytest.approx(0.6)
+def test_label_model_follows_the_data():
+    """Documents drawn with known rates of votes, at several shares of good ones: the estimate finds the share, and the posterior the class."""
+    r = random.Random(5)
+    kinds = [vote for vote, _ in quality_rules.RULES.values()]
+    on_good = [0.95 if k > 0 else 0.02 for k in kinds]
+    on_bad = [0.1 if k > 0 else 0.3 for k in kinds]
+    for share in (0.02, 0.05, 0.5, 0.95):
+        drawn = []
+        for _ in range(4000):
+            good = r.random() < share
+            drawn.append((tuple(k if r.random() < (on_good if good else on_bad)[i] else 0 for i, k in enumerate(kinds)), good))
+        patterns = sorted(Counter(votes for votes, _ in drawn).items())
+        found, a, b = quality_rules.estimate(patterns)
+        assert abs(found - share) < 0.03
+        if 0.04 < share < 0.96:
+            assert max(abs(x - y) for x, y in zip(a + b, on_good + on_bad, strict=True)) < 0.12
+        wrong = sum((quality_rules.log_odds(found, a, b, votes) >= 0) != good for votes, good in drawn)
+        assert wrong < 0.03 * len(drawn)
+        right = quality_rules.accuracies(found, a, b)
+        assert all(0 < x < 1 for x in right)
+
+
+def test_label_model_brute_force(spark):
+    """Posteriors of the query against the same sums in plain Python."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["good", "words", "x***", "BAD", "end.", "why!", "q"]) for _ in range(r.choice([30, 80, 120]))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality_rules.judge(df).collect()
+    votes = {x.doc_id: tuple(x[f"_vote_{k}"] for k in quality_rules.RULES) for x in rows}
+    share, a, b = quality_rules.estimate(sorted(Counter(votes.values()).items()))
+    for x in rows:
+        good, bad = share, 1 - share
+        for i, v in enumerate(votes[x.doc_id]):
+            good, bad = good * (a[i] if v else 1 - a[i]), bad * (b[i] if v else 1 - b[i])
+        assert abs(x._posterior - good / (good + bad)) < 1e-9 and x._kept == (not x._base_failed and x._posterior >= 0.5)
+    assert quality_rules.estimate([])[0] == pytest.approx(0.5)
