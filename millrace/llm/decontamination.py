@@ -1,9 +1,10 @@
 """Benchmark decontamination against a broadcast hash set of normalised test n-grams.
 
 Items and documents are lower-cased and cut into alphanumeric words. The 64-bit hashes of all item windows are
-broadcast, every rolling window of every document is looked up, and each hit is verified word by word.
-The set goes out only up to `block_bytes` of item text; a larger benchmark is dealt into blocks of that size and the
-documents pass block after block, with the hits so far as a column written to the shared folder.
+broadcast, every rolling window of every document is looked up, and each hit is verified word by word, byte for byte.
+The set is a few sorted arrays over one byte buffer, some 40 bytes an item word. It goes out only up to `block_bytes` of
+item text (16 MB: about 110 MB of set); a larger benchmark is dealt into blocks of that size and the documents pass block
+after block, with the hits so far as a column written to the shared folder.
 
 Defined cases: null or empty texts have no words and can't be hit or hit others; an item of fewer than n words is one
 window; an item without item_id hits words but isn't listed; rows that repeat an id are separate documents (or one
@@ -19,40 +20,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stored
-from millrace.llm.words import ALNUM_WORDS, Words, cover, member, window_starts, windows
+from millrace.llm.shared import release, runs, stored
+from millrace.llm.words import ALNUM_WORDS, Words, _tables, cover, member, window_starts, windows
+
+BLOCK_BYTES = 16 << 20
+
+
+def _bytes_at(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all bytes of these spans, one span behind the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
 
 class WindowSet:
-    """The windows of a block of items: hashes by length, and for each hash the items and words behind it."""
+    """The windows of a block of items: of each length, sorted hashes, where the words of each distinct window are, and which items hold it."""
 
     def __init__(self, rows: list[tuple[str | None, str | None]], n: int):
         words = Words(pa.array([t for _, t in rows], pa.string()), ALNUM_WORDS, True)
-        hashes, found = words.hashes(), {}
-        for i, (name, _) in enumerate(rows):
-            lo, hi = int(words.first[i]), int(words.first[i + 1])
-            k = min(n, hi - lo)
-            if k:
-                raw = [words.bytes_of(j) for j in range(lo, hi)]
-                for j, h in enumerate(windows(hashes[lo:hi], k).tolist()):
-                    found.setdefault(k, {}).setdefault(h, {}).setdefault(b" ".join(raw[j : j + k]), set()).add(name)
-        self.by_length = {k: (np.array(sorted(w), np.uint64), w) for k, w in found.items()}
+        self.names = [name for name, _ in rows]
+        self.data, self.start, self.size = _tables(ALNUM_WORDS, True)[0][words.data], words.start, words.end - words.start
+        self.layers: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        hashes, item = words.hashes(), words.row()
+        wanted = np.minimum(words.count, n)  # the length of each item's windows
+        for k in np.unique(wanted[wanted > 0]).tolist():
+            h = windows(hashes, k)
+            place = np.flatnonzero(window_starts(words.first, k)[: len(h)] & (wanted[item[: len(h)]] == k))
+            place = place[np.lexsort((place, h[place]))]
+            while len(place):  # windows of one hash and different words, if there ever are any, go to a layer of their own
+                first, length = runs(h[place])
+                one = place[first]
+                alike = self._equal(self.data, self.start, self.size, place, np.repeat(one, length), k)
+                of, holder = np.repeat(np.arange(len(first)), length)[alike], item[place[alike]]
+                both = np.unique((of << 32) | holder)
+                bounds = np.searchsorted(both >> 32, np.arange(len(first) + 1))
+                self.layers.append((k, h[one], one, bounds, both & ((1 << 32) - 1)))
+                place = place[~alike]
+
+    def _equal(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, mine: np.ndarray, k: int, step: int = 1 << 15) -> np.ndarray:
+        """Whether the k words from each of `at` on are those from `mine` on in this set; data: lower-case bytes."""
+        out = np.zeros(len(at), bool)
+        for i in range(0, len(at), step):
+            a, b = at[i : i + step, None] + np.arange(k), mine[i : i + step, None] + np.arange(k)
+            same = (size[a] == self.size[b]).all(axis=1)
+            a, b = a[same].ravel(), b[same].ravel()
+            if len(a):
+                length = size[a]
+                differ = data[_bytes_at(start[a], length)] != self.data[_bytes_at(self.start[b], length)]
+                same[same] = np.add.reduceat(differ, (np.cumsum(length) - length)[::k]) == 0
+            out[i : i + step] = same
+        return out
+
+    def _found(self, words: Words):
+        """Of each length, where windows of this set occur, which ones, and the layer's arrays; compared word by word."""
+        hashes, data = words.hashes(), None
+        for k, keys, one, bounds, holders in self.layers:
+            h = windows(hashes, k)
+            at = np.flatnonzero(member(keys, h) & window_starts(words.first, k)[: len(h)])
+            if len(at):
+                data = _tables(ALNUM_WORDS, True)[0][words.data] if data is None else data
+                window = np.searchsorted(keys, h[at])
+                true = self._equal(data, words.start, words.end - words.start, at, one[window], k)
+                yield k, at[true], window[true], keys, bounds, holders
+
+    def places(self, words: Words, length: int) -> tuple[list[int], list[int]]:
+        """The words at which windows of this length begin, and the windows' hashes."""
+        found = [(at, keys[window].astype(np.int64)) for k, at, window, keys, _, _ in self._found(words) if k == length]
+        return [x for at, _ in found for x in at.tolist()], [x for _, h in found for x in h.tolist()]
 
     def hits(self, words: Words, rows: int, listed: bool = True) -> tuple[np.ndarray, list[set]]:
         """Whether each word lies in an occurrence of a window, and the items whose windows occur in each row."""
-        hashes, row, n = words.hashes(), words.row(), len(words)
+        row, n = words.row(), len(words)
         hit = np.zeros(n, bool)
         items: list[set] = [set() for _ in range(rows)] if listed else []
-        for k, (keys, behind) in self.by_length.items():
-            h = windows(hashes, k)
-            at = np.flatnonzero(member(keys, h) & window_starts(words.first, k)[: len(h)])
-            true = []
-            for i, x in zip(at.tolist(), h[at].tolist(), strict=True):
-                names = behind[x].get(b" ".join([words.bytes_of(j) for j in range(i, i + k)]))
-                if names:
-                    true.append(i)
-                    if listed:
-                        items[row[i]].update(names)
-            hit |= cover(np.array(true, np.int64), k, n)
+        for k, at, window, _, bounds, holders in self._found(words):
+            hit |= cover(at, k, n)
+            if listed:
+                both = np.unique((row[at] << 32) | window)
+                for r, w in zip((both >> 32).tolist(), (both & ((1 << 32) - 1)).tolist(), strict=True):
+                    items[r].update(self.names[i] for i in holders[bounds[w] : bounds[w + 1]].tolist())
         return hit, items
 
 
@@ -87,6 +131,7 @@ def _scan(window_set, last: bool):
                     "items": pa.array([sorted(x for x in names if x is not None) for names in items], pa.list_(pa.string())),
                 }
                 yield pa.RecordBatch.from_pydict(out if last else out | {"text": batch["text"]})
+        release()
 
     return scan
 
@@ -100,7 +145,7 @@ def _blocks(benchmark: DataFrame, n: int, block_bytes: int):
         yield benchmark.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()], n)), b + 1 == blocks
 
 
-def scan_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def scan_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, hit (a bit for each word, null if none is hit), items (ids with an occurring window, sorted)."""
     state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     columns = "doc_id long, n_words long, n_hit long, hit binary, items array<string>"
@@ -111,13 +156,13 @@ def scan_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes
     return state
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return scan_windows(docs, benchmark, n, block_bytes).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
     for found, last in _blocks(benchmark, n, block_bytes):
         docs = docs.mapInArrow(_cut(found, True), docs.schema)
@@ -125,7 +170,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int =
     return docs
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All documents; the text from the first to the last character of each hit span is cut out.
     A benchmark of several blocks is cut block after block, so a window that meets a cut of an earlier block may escape;
     `clean` and `scan_windows` judge the whole text by all blocks."""
@@ -159,6 +204,7 @@ def _cut(window_set, drop: bool):
                         texts[r] = raw.decode()
                     at = batch.schema.get_field_index("text")
                     yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        release()
 
     return cut
 
