@@ -6,9 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import decontamination, license_scan, ngram_jaccard, quality_rules, substring_dedup
+from millrace.llm.words import Words, windows
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -164,6 +166,28 @@ def test_decontamination(spark, docs, rows, no_docs):
     assert decontamination.report(no_docs, bench).collect() == [] and decontamination.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_window_sets_with_colliding_hashes(monkeypatch):
+    """With hashes of three values only, the words alone decide."""
+    monkeypatch.setattr(decontamination, "windows", lambda h, k: windows(h, k) % np.uint64(3))
+    r = random.Random(7)
+    for _ in range(30):
+        make = lambda n: " ".join(r.choice(["aa", "bb", "Aa", "c", "ccc"]) for _ in range(n))
+        items, texts = [(str(i), make(r.randint(0, 6))) for i in range(12)], [make(r.randint(0, 30)) for _ in range(5)]
+        held = decontamination.WindowSet(items, 3)
+        batch = Words(pa.array(texts), decontamination.ALNUM_WORDS, True)
+        hit, found = held.hits(batch, len(texts))
+        for row, text in enumerate(texts):
+            w, want, names = text.lower().split(), set(), set()
+            for name, item in items:
+                v = item.lower().split()
+                k = min(3, len(v))
+                for j in range(len(w) - k + 1 if k else 0):
+                    if any(w[j : j + k] == v[x : x + k] for x in range(len(v) - k + 1)):
+                        want.update(range(j, j + k))
+                        names.add(name)
+            assert set(np.flatnonzero(hit[batch.first[row] : batch.first[row + 1]]).tolist()) == want and found[row] == names
+
+
 def test_license_scan(spark, no_docs):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0. More words."),
@@ -210,6 +234,58 @@ def test_license_notices_with_a_changed_lost_or_inserted_word(spark):
     assert license_scan.edits([b"a", b"b", b"c"], [b"a", b"x", b"c", b"d"]) == 1 and license_scan.edits([b"a"], []) == 1
 
 
+def brute_alignments(text, k=3, gap=3):
+    """(label, coverage) of the templates that a text's diagonals verify, by loops."""
+    w, out = words(text, True, ALNUM_WORD), []
+    joined = f" {' '.join(w)} "
+    for label, template in license_scan.TEMPLATES:
+        v = template.split()
+        name = next((x for x in license_scan.NAMES if f" {x} " in f" {template} "), None)
+        if name and f" {name} " not in joined:
+            continue
+        at = defaultdict(set)
+        for p in range(len(w) - k + 1):
+            for q in range(len(v) - k + 1):
+                if w[p : p + k] == v[q : q + k]:
+                    at[p - q].add(q)
+        band, last = set(), None
+        best = 0.0
+        for d in sorted(at):
+            band = band if last is not None and d - last <= gap else set()
+            band |= {x for q in at[d] for x in range(q, q + k)}
+            last = d
+            best = max(best, len(band) / len(v))
+        if best >= (0.9 if len(v) < license_scan.LONG else 0.6):
+            out.append((label, best))
+    return out
+
+
+def test_license_texts_by_brute_force(spark):
+    r = random.Random(15)
+    rows = []
+    for label, text in license_scan.TEXTS:
+        w = text.split()
+        rows.append((label, "\n".join(" ".join(w[i : i + 7]) for i in range(0, len(w), 7))))  # reflowed
+        rows.append((label, "Copyright someone\n" + " ".join(w[: int(0.8 * len(w))]) + " and then something else"))  # a part
+        rows.append((label, " ".join(x for x in w if r.random() > 0.04)))  # words lost
+        rows.append((label, text.upper()))
+    rows += [(None, " ".join(r.choice(rows[0][1].split()) for _ in range(300))), (None, "the word software " * 20_000)]
+    docs = spark.createDataFrame([(i, t, "x", 1.0) for i, (_, t) in enumerate(rows)], "doc_id long, text string, labels string, score double")
+    got = {x.doc_id: x for x in license_scan.scan_licenses(docs).collect()}
+    assert len(got) == len(rows)
+    near = set()
+    for i, (label, text) in enumerate(rows):
+        found = brute_alignments(text) if len(text) < 10_000 else []
+        assert {x for x, _ in found} <= set(got[i].labels)
+        if label:
+            assert label in got[i].labels and not {"gpl", "lgpl", "agpl"} - {label} & set(got[i].labels)
+            assert got[i].score >= max((c for _, c in found), default=0.5) - 1e-9
+        else:
+            assert got[i].labels == [] and not found
+        near |= set(got[i].labels) - {x for x, _ in found} - set(got[i].base_labels)
+    assert near <= {"gpl", "lgpl", "agpl", "mpl", "apache"}  # sentences aligned around a name
+
+
 def test_quality_rules(spark, docs, rows, no_docs):
     junk = [(1000 + i, "Xy Xy " * 200, "en", "s1", 1, 7, 9, "x") for i in range(8)] + [(2000 + i, "word*** other### more&&& " * 40 + str(i), "en", "s1", 1, 7, 9, "x") for i in range(8)]
     r = random.Random(4)
