@@ -1,16 +1,18 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled by a hash of doc_id. A document's virtual finish time is its source's words up to
-and with it, divided by the source's target; a second pass over a source continues behind its first. All finish times
-are cut where the words taken reach the budget. That is the order in which a fair queue would serve the sources.
-
-Running sums don't gather a source in one task: the hash is cut into `slots` ranges, sums of (source, slot) give each
-range its offset, and only rows of one source and slot are sorted together. The cut is found on a histogram of finish
-times, and only the histogram's crossing bin is sorted.
-
-Defined cases: null or empty text has size 0 and is not taken; a null source is a source, ordered last; rows that
-repeat a doc_id are separate rows; rows without a doc_id stand at one place of the shuffle, by size; an empty table
-gives an empty result; other columns are carried along.
+Each source's documents are shuffled by a hash of doc_id and text. A document's virtual finish time is its source's words
+up to and with it, divided by the source's target; a second pass over a source continues behind its first. All finish
+times are cut where the words taken reach the budget. That is the order in which a fair queue would serve the sources.
+
+The texts are scanned once: sizes and hashes go to a table in the shared folder, and all else reads that table's narrow
+columns. Running sums don't gather a source in one task: the hash is cut into slots, more of them for more rows; sums of
+(source, slot) give each slot its offset, and only rows of one source and slot are sorted together. The cut is found on a
+histogram of finish times, and only the histogram's crossing bin is sorted.
+
+Defined cases: null or empty text has size 0 and is not taken; a null source is a source, ordered last; rows that repeat
+a doc_id are separate rows, shuffled apart unless their texts are equal too, as are rows without a doc_id; which of rows
+equal in doc_id, source and text is taken is the same to the mix; an empty table gives an empty result; other columns are
+carried along, and the operator's own begin with an underscore.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import stored
+
 WEIGHTS = (3, 1, 2)
 SLOTS = 1024
 BINS = 4096
+ROWS = 50_000  # of a slot or bin, about, where there are more rows than SLOTS and BINS hold at that size
 
 
 def size_of(text: Column) -> Column:
@@ -28,9 +33,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def shuffle_key(doc_id: Column) -> Column:
-    """60 bits of a hash of doc_id, the same on every run."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def shuffle_key(doc_id: Column, text: Column) -> Column:
+    """60 bits of a hash of doc_id and text, the same on every run."""
+    both = F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -53,32 +59,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return s.select("source", "_rank", "_source_size", target.alias("_target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slots: int = SLOTS, bins: int = BINS) -> DataFrame:
-    """docs (doc_id, text, source, any others) with _size, _source_size, _target and _taken: the words that the mix takes of each row,
-    0, 1 or 2 times its size. _finish is its first virtual finish time, null where nothing can be taken."""
-    rows = docs.withColumn("_size", size_of(F.col("text")))
-    targets = source_targets(rows.select("source", "_size"), weights)
-    known = [r.asDict() for r in targets.collect()] if _few(targets) else None
-    if known is not None:  # a row for each source: kept as it is, so that later jobs don't read the texts for it again
-        targets = docs.sparkSession.createDataFrame([tuple(r.values()) for r in known], targets.schema)
-    total = F.lit(targets.agg(F.sum("_source_size")).first()[0] or 0).cast("long")
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slots: int | None = None, bins: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text, source, any others; or the columns `keep` of it) with _size, _source_size, _target and _taken: the words that the
+    mix takes of each row, 0, 1 or 2 times its size. _finish is its first virtual finish time, null where nothing can be taken."""
+    keep = docs.columns if keep is None else keep
+    own = {"_size": size_of(F.col("text")), "_key": shuffle_key(F.col("doc_id"), F.col("text")), "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_of": F.col("source")}
+    rows = stored(docs.withColumns(own).select(*keep, *own), "sizes")
+    n, total = rows.agg(F.count("*"), F.sum("_size")).first()
+    total = F.lit(total or 0).cast("long")
+    slots, bins = slots or max(SLOTS, n // ROWS), bins or max(BINS, n // ROWS)
+    targets = stored(source_targets(rows.select(F.col("_of").alias("source"), "_size"), weights), "targets")  # a row for each source
 
-    rows = rows.withColumn("_key", shuffle_key(F.col("doc_id"))).withColumn("_slot", F.floor(F.col("_key") / ((1 << 60) // slots)).cast("int"))
-    rows = rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("_slot", F.floor(F.col("_key") / ((1 << 60) // slots)).cast("int"))
+    rows = rows.join(targets.withColumnRenamed("source", "_source"), F.col("_of").eqNullSafe(F.col("_source"))).drop("_source", "_of")
     offsets = rows.groupBy("_rank", "_slot").agg(F.sum("_size").alias("_sum"))
     offsets = offsets.select("_rank", "_slot", (F.sum("_sum").over(Window.partitionBy("_rank").orderBy("_slot")) - F.col("_sum")).alias("_offset"))
-    order = Window.partitionBy("_rank", "_slot").orderBy("_key", F.col("doc_id").asc_nulls_first(), "_size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_local", F.sum("_size").over(order)).join(offsets, ["_rank", "_slot"])
-    end = F.col("_offset") + F.col("_local")
-    able = (F.col("_size") > 0) & (F.col("_target") > 0)
-    rows = rows.withColumn("_finish", F.when(able, end / F.col("_target"))).withColumn("_again", F.when(able, (end + F.col("_source_size")) / F.col("_target")))
-
-    one = lambda f: F.struct(F.col(f).alias("f"), F.col("_rank").alias("r"), F.col("_key").alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.col("_size").alias("z"))
-    items = rows.where("_finish is not null").select(F.explode(F.array(one("_finish"), one("_again"))).alias("i"))
-    items = items.withColumn("bin", F.least(F.floor(F.col("i.f") * bins), F.lit(4 * bins)).cast("int"))
+    order = Window.partitionBy("_rank", "_slot").orderBy("_key", "_doc", "_size").rowsBetween(Window.unboundedPreceding, 0)
+
+    def finished(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_local", F.sum("_size").over(order)).join(offsets, ["_rank", "_slot"])
+        end = F.col("_offset") + F.col("_local")
+        able = (F.col("_size") > 0) & (F.col("_target") > 0)
+        return df.withColumn("_finish", F.when(able, end / F.col("_target"))).withColumn("_again", F.when(able, (end + F.col("_source_size")) / F.col("_target")))
+
+    one = lambda f: F.struct(F.col(f).alias("f"), F.col("_rank").alias("r"), F.col("_key").alias("k"), F.col("_doc").alias("d"), F.col("_size").alias("z"))
+    narrow = finished(rows.select("_rank", "_slot", "_key", "_doc", "_size", "_source_size", "_target")).where("_finish is not null")
+    items = narrow.select(F.explode(F.array(one("_finish"), one("_again"))).alias("i"))
+    items = stored(items.withColumn("bin", F.least(F.floor(F.col("i.f") * bins), F.lit(4 * bins)).cast("int")), "items")
     hist = items.groupBy("bin").agg(F.sum("i.z").alias("z"))
-    hist = hist.withColumn("upto", F.sum("z").over(Window.orderBy("bin")))
+    hist = hist.withColumn("upto", F.sum("z").over(Window.orderBy("bin")))  # a row a bin
     cross = hist.where(2 * F.col("upto") > 3 * total).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("z")).alias("before")), "bin").alias("c")).first().c
+    rows = finished(rows)
     if cross is None:
         taken = F.when(F.col("_finish").isNotNull(), 2).otherwise(0)
     else:
@@ -89,11 +100,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slots: int
         cut = F.struct(F.lit(float(low[0])).alias("f"), F.lit(low[1]).cast("int").alias("r"), F.lit(low[2]).cast("long").alias("k"), F.lit(low[3]).cast("long").alias("d"), F.lit(low[4]).cast("long").alias("z"))
         took = lambda f: F.when(F.col(f).isNotNull() & (one(f) <= cut), 1).otherwise(0)
         taken = took("_finish") + took("_again")
-    return rows.withColumn("_taken", (taken * F.col("_size")).cast("long")).drop("_rank", "_slot", "_key", "_local", "_offset", "_again")
-
-
-def _few(targets: DataFrame, most: int = 100_000) -> bool:
-    return targets.limit(most + 1).count() <= most
+    return rows.withColumn("_taken", (taken * F.col("_size")).cast("long")).drop("_rank", "_slot", "_key", "_doc", "_local", "_offset", "_again")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -106,7 +113,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM s),

@@ -35,7 +35,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mix_sources
 
-    rows = mix_sources(_table(spark, sf_dir, "documents"))
+    rows = mix_sources(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.selectExpr("doc_id", "_size AS size", "_source_size AS source_size", "_target AS target", "_taken AS taken")
 
 
