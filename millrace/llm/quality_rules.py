@@ -2,8 +2,9 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. The votes of all documents are counted by pattern;
 a rule votes one way only, so there are at most 2 ** 10 patterns, whatever the size of the corpus. Expectation-maximisation over that table
-estimates how often each rule is right when it votes, and how many documents are good. A document's
-posterior probability of being good is then a sum of its votes' log-odds, and decides in place of all-must-pass rules.
+estimates the share of good documents and, of each rule, how often it votes on good and on bad ones, which gives its accuracy: how often it is
+right when it votes. A document's posterior probability of being good is then a sum of log-odds of its votes and abstentions, and decides in
+place of all-must-pass rules. Nothing is clipped: the start counts as PRIOR documents, and the data decide the rest.
 
 The columns `n_words`, `word_chars`, `n_symbols`, `n_dup_lines`, `n_repeat_words` and `base_failed` are exact.
 Repeated 3-word windows are found inside a row (windows hashed to 64 bits, sorted with their places), so nothing is
@@ -78,32 +79,53 @@ def with_votes(df: DataFrame) -> DataFrame:
     return df.withColumns({f"_vote_{k}": F.expr(f"case when {when} then {vote} else 0 end") for k, (vote, when) in RULES.items()})
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40, assumed: float = 0.95) -> tuple[float, list[float]]:
-    """The share of good documents and each rule's accuracy (how often it's right when it votes), by expectation-maximisation.
+#: Where estimation starts, as of this many documents: the share of good ones, and how often a rule votes on documents of its kind and of the other.
+PRIOR, SHARE, RIGHT, WRONG = 10.0, 0.5, {1: 0.6, -1: 0.2}, 0.1
 
-    patterns: (votes, number of documents). A rule that alone spots its kind of junk has no other rule to confirm it, so
-    half of each estimate is the assumed accuracy. Accuracies stay within 0.6 and 0.99, the share within 0.5 and 0.7.
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[float], list[float]]:
+    """The share of good documents and, of each rule, how often it votes on good and on bad ones, by expectation-maximisation.
+
+    patterns: (votes, number of documents).
     """
-    rules = len(patterns[0][0]) if patterns else len(RULES)
-    clip = lambda x, lo, hi: min(hi, max(lo, x))
-    share, right = 0.6, [assumed] * rules
+    kinds = [vote for vote, _ in RULES.values()]
+    begin_good = [RIGHT[k] if k > 0 else WRONG for k in kinds]
+    begin_bad = [RIGHT[k] if k < 0 else WRONG for k in kinds]
+    share, on_good, on_bad = SHARE, begin_good, begin_bad
     for _ in range(rounds):
-        good, total, agreed, voted = 0.6, 1.0, [0.0] * rules, [0.0] * rules
+        good = total = 0.0
+        by_rule = [[0.0, 0.0] for _ in kinds]
         for votes, n in patterns:
-            p = 1 / (1 + math.exp(-log_odds(share, right, votes)))
+            p = 1 / (1 + math.exp(-log_odds(share, on_good, on_bad, votes)))
             good, total = good + n * p, total + n
             for r, v in enumerate(votes):
                 if v:
-                    agreed[r] += n * (p if v > 0 else 1 - p)
-                    voted[r] += n
-        share = clip(good / total, 0.5, 0.7)
-        right = [clip((a / v + assumed) / 2 if v else assumed, 0.6, 0.99) for a, v in zip(agreed, voted, strict=True)]
-    return share, right
+                    by_rule[r][0] += n * p
+                    by_rule[r][1] += n * (1 - p)
+        last = share
+        share = (PRIOR * SHARE + good) / (PRIOR + total)
+        on_good = [(PRIOR * b + x) / (PRIOR + good) for b, (x, _) in zip(begin_good, by_rule, strict=True)]
+        on_bad = [(PRIOR * b + y) / (PRIOR + total - good) for b, (_, y) in zip(begin_bad, by_rule, strict=True)]
+        if abs(share - last) < 1e-12:
+            break
+    return share, on_good, on_bad
+
+
+def accuracies(share: float, on_good: list[float], on_bad: list[float]) -> list[float]:
+    """Of each rule, how often it's right when it votes."""
+    of_good = [share * g / (share * g + (1 - share) * b) for g, b in zip(on_good, on_bad, strict=True)]
+    return [p if vote > 0 else 1 - p for p, (vote, _) in zip(of_good, RULES.values(), strict=True)]
+
+
+def _odds(on_good: list[float], on_bad: list[float]) -> list[tuple[float, float]]:
+    """Of each rule, the log-odds of a document's being good that its vote and its abstention add."""
+    return [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in zip(on_good, on_bad, strict=True)]
 
 
-def log_odds(share: float, right: list[float], votes: tuple[int, ...]) -> float:
-    """Of a document's being good."""
-    return math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for a, v in zip(right, votes, strict=True))
+def log_odds(share: float, on_good: list[float], on_bad: list[float], votes: tuple[int, ...]) -> float:
+    """Of a document's being good. Kept within 50 either way, beyond which no probability differs from 0 or 1."""
+    total = math.log(share / (1 - share)) + sum(voted if v else silent for v, (voted, silent) in zip(votes, _odds(on_good, on_bad), strict=True))
+    return max(-50.0, min(50.0, total))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -111,10 +133,10 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     names = [f"_vote_{k}" for k in RULES]
     df = stored(with_votes(signals(docs)).select(*(keep if keep is not None else docs.columns), *names, *[f"_{c}" for c in SIGNALS]), "signals")
     patterns = [(tuple(r[:-1]), r[-1]) for r in df.groupBy(*names).agg(F.count("*").alias("n")).collect()]
-    share, right = estimate(sorted(patterns))
+    share, on_good, on_bad = estimate(sorted(patterns))
     total = F.lit(math.log(share / (1 - share)))
-    for name, a in zip(names, right, strict=True):
-        total = total + F.col(name) * math.log(a / (1 - a))
+    for name, (voted, silent) in zip(names, _odds(on_good, on_bad), strict=True):
+        total = total + F.when(F.col(name) != 0, voted).otherwise(silent)
     df = df.withColumn("_posterior", 1 / (1 + F.exp(-total))).withColumn("_base_failed", base_failed())
     return df.withColumn("_kept", ~F.col("_base_failed") & (F.col("_posterior") >= 0.5))
 
