@@ -48,8 +48,9 @@ def scrub(df: DataFrame, policy: str = "plain", text: str = "text", out: str = "
     df = df.withColumn("_s0", value)
     steps = POLICIES.get(policy, POLICIES["general"])
     for i, (kind, pattern, mask) in enumerate(steps):
-        found = F.regexp_count(F.col(f"_s{i}"), F.lit(pattern))
+        df = df.withColumn(f"_n{i}", F.regexp_count(F.col(f"_s{i}"), F.lit(pattern)))  # a column, so that it's counted once
+        found = F.col(f"_n{i}")
         counts[kind] = counts[kind] + found if kind in counts else found
         df = df.withColumn(f"_s{i + 1}", F.when(found > 0, F.regexp_replace(F.col(f"_s{i}"), pattern, mask)).otherwise(F.col(f"_s{i}")))
     df = df.withColumn(out, F.col(f"_s{len(steps)}")).withColumns({f"{k}_count": c.cast("long") for k, c in counts.items()})
-    return df.drop(*[f"_s{i}" for i in range(len(steps) + 1)])
+    return df.drop(*[f"_{x}{i}" for i in range(len(steps) + 1) for x in "sn"])

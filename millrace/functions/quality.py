@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from millrace.functions.text import lines, strip, words
+from millrace.functions.text import lines, strip, strip_wikitables, words
 
 # Patterns and thresholds of the signals and flags.
 LIST_LINE = r"^(?U)\s*(?:[-*•]|\p{Nd}+[.)])\s+"
@@ -28,23 +28,28 @@ STAT_HEAVY = {"alpha": 0.45, "digit": 0.15, "short": 0.90, "lines": 8}
 BANDS = (("B0", 0.25), ("B1", 0.50), ("B2", 1.00), ("B3", 1.15), ("B4", 1.25))
 
 
-STATISTICS = StructType([StructField("compressed", LongType()), StructField("entropy", DoubleType()), StructField("run", IntegerType())])
+STATISTICS = StructType([StructField("entropy", DoubleType()), StructField("run", IntegerType())])
 
 
 @F.pandas_udf(STATISTICS)
-def byte_and_character_statistics(text: pd.Series) -> pd.DataFrame:
-    """zlib size at level 9, Shannon entropy of characters in bits, and the longest run of one character."""
-    out = []
-    for t in text:
-        raw = t.encode() if t else b""
-        if not raw:
-            out.append((0, 0.0, 0))
-            continue
-        points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        p = np.unique(points, return_counts=True)[1] / len(points)
-        edge = np.flatnonzero(np.concatenate([[True], points[1:] != points[:-1], [True]]))
-        out.append((len(zlib.compress(raw, 9)), float(-(p * np.log2(p)).sum()), int(np.diff(edge).max())))
-    return pd.DataFrame(out, columns=["compressed", "entropy", "run"])
+def character_statistics(text: pd.Series) -> pd.DataFrame:
+    """Shannon entropy of characters in bits, and the longest run of one character."""
+    entropy, run = np.zeros(len(text)), np.zeros(len(text), np.int32)
+    for i, t in enumerate(text):
+        if t:
+            points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+            n = np.bincount(points) if points.max() < 1024 else np.unique(points, return_counts=True)[1]
+            p = n[n > 0] / len(points)
+            entropy[i] = -(p * np.log2(p)).sum()
+            edge = np.flatnonzero(points[1:] != points[:-1])
+            run[i] = np.diff(edge, prepend=-1, append=len(points) - 1).max()
+    return pd.DataFrame({"entropy": entropy, "run": run})
+
+
+@F.pandas_udf(LongType())
+def compressed_size(text: pd.Series) -> pd.Series:
+    """Bytes of the text compressed by zlib at level 9."""
+    return text.map(lambda t: len(zlib.compress(t.encode(), 9)) if t else 0)
 
 
 def fraction(n: Column, of: Column) -> Column:
@@ -57,7 +62,7 @@ def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("_w", words(t)).withColumn("_all_lines", lines(t))
     df = df.withColumn("_l", F.filter(F.transform("_all_lines", strip), lambda x: x != ""))
-    df = df.withColumn("_stats", byte_and_character_statistics(t))
+    df = df.withColumn("_stats", character_statistics(t)).withColumn("_zip", compressed_size(t))  # each is run only where its column is read
     df = df.withColumn("_tri", F.expr("if(size(_w) >= 3, transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])), array())"))
     df = df.withColumn("_body", F.expr("if(size(_l) > 1, slice(_l, 2, size(_l) - 1), array())"))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
@@ -82,7 +87,7 @@ def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
             "list_line_fraction": fraction(F.size(F.filter("_l", lambda x: x.rlike(LIST_LINE))), n_lines),
             "duplicate_line_fraction": fraction(n_lines - F.size(F.array_distinct("_l")), n_lines),
             "repeated_trigram_fraction": F.when(F.size("_tri") > 0, 1 - fraction(F.size(F.array_distinct("_tri")), F.size("_tri"))).otherwise(0.0),
-            "compression_ratio": fraction(F.col("_stats.compressed"), F.octet_length(t)),
+            "compression_ratio": fraction(F.col("_zip"), F.octet_length(t)),
             "character_entropy_bits": F.col("_stats.entropy"),
             "max_same_character_run": F.col("_stats.run"),
             "url_count": count(URL).cast("long"),
@@ -94,7 +99,7 @@ def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     df = df.withColumn("line_structure_ratio", fraction(F.col("nonempty_lines"), F.col("paragraphs")))
-    return df.drop("_t", "_w", "_all_lines", "_l", "_stats", "_tri", "_body")
+    return df.drop("_t", "_w", "_all_lines", "_l", "_stats", "_zip", "_tri", "_body")
 
 
 SIGNALS = (
@@ -170,3 +175,34 @@ def with_band(df: DataFrame, flags: str = "flags", groups=None) -> DataFrame:
     df = df.withColumn("band", band.when(F.expr("characters >= 1200 and paragraphs >= 4"), "B3").otherwise("B2"))
     weight = F.create_map(*[F.lit(x) for pair in BANDS for x in pair])
     return df.withColumn("sampling_weight", weight[F.col("band")])
+
+
+# The Unicode blocks of scripts, as classes of letters.
+SCRIPTS = {
+    "latin": "[A-Za-zÀ-ÖØ-öø-ɏ]",
+    "devanagari": r"[\u0900-\u097F&&\p{L}]",
+    "bengali": r"[\u0980-\u09FF&&\p{L}]",
+    "gurmukhi": r"[\u0A00-\u0A7F&&\p{L}]",
+    "gujarati": r"[\u0A80-\u0AFF&&\p{L}]",
+    "oriya": r"[\u0B00-\u0B7F&&\p{L}]",
+    "tamil": r"[\u0B80-\u0BFF&&\p{L}]",
+    "telugu": r"[\u0C00-\u0C7F&&\p{L}]",
+    "kannada": r"[\u0C80-\u0CFF&&\p{L}]",
+    "malayalam": r"[\u0D00-\u0D7F&&\p{L}]",
+    "arabic": r"[\u0600-\u06FF&&\p{L}]",
+}
+
+
+def script_fraction(text: Column, script: str) -> Column:
+    """The share of a text's letters that are of a script."""
+    return fraction(F.regexp_count(text, F.lit(SCRIPTS[script])), F.regexp_count(text, F.lit(r"\p{L}")))
+
+
+def gates_around_cleanup(df: DataFrame, least: int = 300, text: str = "text") -> DataFrame:
+    """df with cleaned (tables cut out) and reason: the first gate that fails, length being judged before and after the cleanup; or pass."""
+    df = strip_wikitables(df, text)
+    t = F.coalesce(F.col(text), F.lit(""))
+    reason = F.when(F.length(t) < least, "too_short_before_cleanup").when(F.length("_clean") < least, "too_short_after_cleanup")
+    reason = reason.when(~F.col("_clean").rlike(r"[\p{L}\p{N}]"), "no_language_content")
+    reason = reason.when(fraction(F.regexp_count("_clean", F.lit("�")), F.length("_clean")) > 0.001, "replacement_character_rate")
+    return df.withColumn("reason", reason.otherwise("pass")).withColumnRenamed("_clean", "cleaned").drop("_removed_lines", "_removed_characters", "_removed_blocks")

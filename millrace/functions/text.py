@@ -23,6 +23,15 @@ GHOST_TAGS = (
 WORD = r"[\p{L}\p{N}_]+"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 SPACE = r"(?U)\s"
+#: What `normalize` does, as data: part of the hash of every policy that builds on it.
+NORMALIZATION = {
+    "unescape_html": True,
+    "unicode_form": "NFC",
+    "dropped": ["U+FEFF", "U+200B", "U+FFFD", "U+202A-U+202E", "controls but tab, line feed and carriage return"],
+    "kept": ["U+200C", "U+200D"],
+    "ghost_tags": len(GHOST_TAGS),
+    "blank_lines": 1,
+}
 
 
 @F.pandas_udf(StringType())
@@ -83,16 +92,38 @@ def strip_wikitables(df: DataFrame, text: str = "text") -> DataFrame:
     A block runs from a line that begins with `{|` to the next that begins with `|}`, or to the end.
     """
     df = df.withColumn("_lines", lines(F.coalesce(F.col(text), F.lit(""))))
-    stray = r"(?i)^(?:\\|[-+}]?|!)(?:\\s|$|.*(?:colspan|rowspan|align|bgcolor|valign)\\s*=)"
+    stray = r"(?iU)^(?:\\|[-+}]?|!)(?:\\s|$|.*(?:colspan|rowspan|align|bgcolor|valign)\\s*=)"
     step = f"""aggregate(_lines, named_struct('open', false, 'kept', cast(array() as array<string>), 'n', 0L, 'c', 0L, 'b', 0L), (a, x) ->
-      case when trim(x) like '{{|%' then named_struct('open', true, 'kept', a.kept, 'n', a.n + 1, 'c', a.c + length(x), 'b', a.b + 1)
-           when a.open then named_struct('open', not trim(x) like '|}}%', 'kept', a.kept, 'n', a.n + 1, 'c', a.c + length(x), 'b', a.b)
-           when trim(x) rlike '{stray}' then named_struct('open', false, 'kept', a.kept, 'n', a.n + 1, 'c', a.c + length(x), 'b', a.b)
-           else named_struct('open', false, 'kept', concat(a.kept, array(x)), 'n', a.n, 'c', a.c, 'b', a.b) end)"""
+      case when _trim(x) like '{{|%' then named_struct('open', true, 'kept', a.kept, 'n', a.n + 1, 'c', a.c + length(x), 'b', a.b + 1)
+           when a.open then named_struct('open', not _trim(x) like '|}}%', 'kept', a.kept, 'n', a.n + 1, 'c', a.c + length(x), 'b', a.b)
+           when _trim(x) rlike '{stray}' then named_struct('open', false, 'kept', a.kept, 'n', a.n + 1, 'c', a.c + length(x), 'b', a.b)
+           else named_struct('open', false, 'kept', concat(a.kept, array(x)), 'n', a.n, 'c', a.c, 'b', a.b) end)""".replace("_trim(x)", r"regexp_replace(x, '(?U)^\\s+|\\s+$', '')")
     # only texts with a line that may be removed take the fold
-    marked = F.exists("_lines", lambda x: F.trim(x).rlike(r"^[|!]|^\{\|"))
+    marked = F.exists("_lines", lambda x: x.rlike(r"(?U)^\s*(?:[|!]|\{\|)"))
     df = df.withColumn("_fold", F.when(marked, F.expr(step)))
     kept = F.when(marked, F.array_join("_fold.kept", "\n")).otherwise(F.array_join("_lines", "\n"))
     zero = lambda f: F.coalesce(F.col(f"_fold.{f}"), F.lit(0)).cast("long")
     df = df.withColumns({"_clean": strip(F.regexp_replace(kept, r"\n{3,}", "\n\n")), "_removed_lines": zero("n"), "_removed_characters": zero("c"), "_removed_blocks": zero("b")})
     return df.drop("_lines", "_fold")
+
+
+def collapsed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def preview(text: Column, side: int = 100) -> Column:
+    """A short text as it is, of a longer one head and tail; white space collapsed."""
+    t = collapsed(text)
+    return F.when(F.length(t) <= 2 * side, t).otherwise(F.concat(F.substring(t, 1, side), F.lit(" … "), F.right(t, F.lit(side))))
+
+
+def marker_contexts(df: DataFrame, marker: str, most: int = 3, around: int = 180, text: str = "text") -> DataFrame:
+    """df with _contexts: what stands around the first `most` places of a marker, white space collapsed."""
+    import re
+
+    n = len(marker)
+    df = df.withColumn("_parts", F.split(F.coalesce(F.col(text), F.lit("")), re.escape(marker), most + 1))
+    places = f"if(size(_parts) > 1, transform(sequence(1, size(_parts) - 1), k -> aggregate(slice(_parts, 1, k), 0, (a, x) -> a + length(x)) + {n} * (k - 1) + 1), array())"
+    df = df.withColumn("_at", F.expr(places))
+    cut = f"transform(_at, a -> trim(regexp_replace(substring({text}, greatest(1, a - {around}), a + {around + n} - greatest(1, a - {around})), '(?U)\\\\s+', ' ')))"
+    return df.withColumn("_contexts", F.expr(cut)).drop("_parts", "_at")

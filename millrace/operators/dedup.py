@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.ids import sha256
 from millrace.functions.text import casefold, firewall_tokens, with_ngrams
+from millrace.session import scratch_dir
 
 BROADCAST_BYTES = 64 << 20
 
@@ -31,16 +36,26 @@ def reference_windows(evaluation: DataFrame, n: int = 13, least: int = 5) -> Dat
     return long.union(short).distinct()
 
 
+def _starts(tokens: str, least: int) -> str:
+    """SQL: a hash of the `least` tokens from each place on."""
+    return f"if(size({tokens}) >= {least}, transform(sequence(0, size({tokens}) - {least}), i -> xxhash64({', '.join(f'{tokens}[i + {j}]' for j in range(least))})), array())"
+
+
 def overlapping(docs: DataFrame, evaluation: DataFrame, key: str, n: int = 13, least: int = 5) -> DataFrame:
-    """The distinct keys of documents that share a window with an evaluation text."""
+    """The distinct keys of documents that share a window with an evaluation text.
+
+    Every window has `least` tokens or more, so one pass looks up where its first ones stand, whatever lengths there are; only the documents
+    with such a place are cut into tokens again, and compared window by window.
+    """
     windows = reference_windows(evaluation, n, least)
+    windows = windows.withColumn("w", F.split("gram", " ")).select("k", "gram", F.expr(_starts("w", least))[0].alias("start"))
     tokens = docs.select(key, firewall_tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    found = None
-    for k in [r.k for r in windows.select("k").distinct().collect()]:  # n - least + 1 lengths at most
-        grams = bounded(windows.where(F.col("k") == k).select("gram"), "gram")
-        hit = with_ngrams(tokens, "w", k, "gram").join(grams, "gram", "left_semi").select(key)
-        found = hit if found is None else found.union(hit)
-    return (docs.select(key).limit(0) if found is None else found).distinct()
+    places = tokens.select(key, F.posexplode(F.expr(_starts("w", least))).alias("i", "start"))
+    maybe = places.join(bounded(windows, "gram"), "start").select(key, "i", "k", "gram")
+    met = docs.select(key, F.col("text")).join(maybe.select(key).distinct(), key, "left_semi").dropDuplicates([key])
+    tokens = met.select(key, firewall_tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    same = F.expr("array_join(slice(w, i + 1, k), ' ')") == F.col("gram")
+    return tokens.join(maybe, key).where(same).select(key).distinct()
 
 
 def cascade(docs: DataFrame, evaluation: DataFrame, order: list[str | Column], n: int = 13) -> DataFrame:
@@ -58,15 +73,53 @@ def cascade(docs: DataFrame, evaluation: DataFrame, order: list[str | Column], n
     return df.withColumn("status", F.coalesce(reason, F.when(first, "admitted").otherwise("duplicate"))).drop("_exact", "_gram")
 
 
+def reconcile(found: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """(key, problem) of ids on one side only: missing or unlisted."""
+    one, two = found.select(key).distinct().withColumn("_f", F.lit(1)), listed.select(key).distinct().withColumn("_l", F.lit(1))
+    both = one.join(two, key, "full_outer").where("_f is null or _l is null")
+    return both.select(key, F.when(F.col("_f").isNull(), "missing").otherwise("unlisted").alias("problem"))
+
+
+def policy_text(*policies: dict) -> str:
+    """Policies as one canonical text."""
+    return json.dumps(list(policies), sort_keys=True, separators=(",", ":"))
+
+
+def policy_hash(*policies: dict) -> str:
+    return hashlib.sha256(policy_text(*policies).encode()).hexdigest()
+
+
 def registry(entries: DataFrame) -> DataFrame:
     """(evaluation_id, content_sha256, conflicts) of entries (evaluation_id, text): an id with two contents is a conflict."""
     return entries.groupBy("evaluation_id").agg(F.min(sha256(F.col("text"))).alias("content_sha256"), (F.count_distinct(sha256(F.col("text"))) > 1).alias("conflict"))
 
 
 def canary_hits(docs: DataFrame, canaries: DataFrame) -> DataFrame:
-    """(doc_id, canary) where a document's casefolded text holds a canary's. Canaries are few; each is tried on all documents."""
-    few = bounded(canaries.select(casefold(F.col("canary")).alias("canary")).distinct(), "canary")
-    return docs.select("doc_id", casefold(F.col("text")).alias("t")).join(few, F.contains("t", F.col("canary"))).select("doc_id", "canary")
+    """(doc_id, canary) where a document's casefolded text holds a canary's. An empty canary hits nothing. All canaries are looked for in one
+    scan of each text; they are few (an error beyond BROADCAST_BYTES)."""
+    canaries = canaries.select(casefold(F.col("canary")).alias("canary")).where("canary <> ''").distinct()
+    if (canaries.agg(F.sum(F.octet_length("canary") + 64)).first()[0] or 0) > BROADCAST_BYTES:
+        raise ValueError("too many canaries for one scan")
+    wanted = docs.sparkSession.sparkContext.broadcast(sorted(r.canary for r in canaries.collect()))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def scan(batches):
+        try:
+            from ahocorasick import Automaton
+        except ImportError:
+            Automaton = None
+        find = lambda text: {c for c in wanted.value if c in text}
+        if Automaton and wanted.value:
+            automaton = Automaton()
+            for c in wanted.value:
+                automaton.add_word(c, c)
+            automaton.make_automaton()
+            find = lambda text: {c for _, c in automaton.iter(text)}
+        for batch in batches:
+            found = [(i, c) for i, t in enumerate(batch["t"].to_pylist()) for c in sorted(find(t or ""))]
+            yield pa.record_batch([batch["doc_id"].take(pa.array([i for i, _ in found], pa.int64())), pa.array([c for _, c in found], pa.string())], names=["doc_id", "canary"])
+
+    return docs.select("doc_id", casefold(F.col("text")).alias("t")).mapInArrow(scan, f"doc_id {kind}, canary string")
 
 
 def shingles(df: DataFrame, key: str, n: int = 3) -> DataFrame:
@@ -99,7 +152,7 @@ def components(edges: DataFrame, nodes: DataFrame, key: str, rounds: int = 50) -
     """(key, component): the smallest key reachable over edges (a, b), by spreading the least label; checkpointed each round."""
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        _set_checkpoint(spark)
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     label = nodes.select(key, F.col(key).alias("c")).checkpoint()
     for _ in range(rounds):
@@ -114,17 +167,6 @@ def components(edges: DataFrame, nodes: DataFrame, key: str, rounds: int = 50) -
     raise RuntimeError("components didn't settle")
 
 
-def _set_checkpoint(spark) -> None:
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        conf = tempfile.mkdtemp(prefix="millrace-")
-    spark.sparkContext.setCheckpointDir(conf)
-
-
 def near_duplicates(df: DataFrame, key: str, n: int = 3, threshold: float = 0.8) -> DataFrame:
     """(key, component) of all rows. Equal normalised texts are one node, so copies never pair with each other."""
     text = F.trim(F.regexp_replace(casefold(F.col("text")), r"(?U)\s+", " "))

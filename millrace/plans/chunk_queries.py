@@ -51,22 +51,20 @@ def c_words_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(spark, sf_dir).groupBy("doc_id").agg(F.sum(n).cast("long").alias("words"))
 
 
-@register(
-    "c5_short_continuations",
-    "WITH c AS (SELECT doc_id, n_chars, n_chars % 700 AS tail FROM documents) SELECT doc_id, n_chars >= 400 AND tail < 400 AS short_continuation FROM c",
-)
+@register("c5_short_continuations")
 def c5_short_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk of under 400 characters of a parent of 400 and more (the chunk's length is given)."""
-    return table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") >= 400) & (F.col("n_chars") % 700 < 400)).alias("short_continuation"))
+    """Chunks of under 400 characters of a parent of 400 and more."""
+    df = chunked(spark, sf_dir).withColumn("characters", F.length("text"))
+    return df.select("doc_id", "chunk_index", "characters", F.expr(chunking.short_continuation()).alias("short_continuation"))
 
 
 @register("f4_hard_rejection")
 def f4_hard_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with a hard flag go; the others are numbered anew."""
     df = quality.with_signals(chunked(spark, sf_dir))
-    df = df.withColumn("flags", quality.flags_v2(short_continuation="(parent_characters >= 400 and characters < 400)"))
+    df = df.withColumn("flags", quality.flags_v2(short_continuation=chunking.short_continuation()))
     df = df.select("doc_id", "chunk_index", "flags").persist()  # else the filter on flags is pushed into the signals, which are then computed again and again
-    kept = chunking.reject_chunks(df, "doc_id", "flags", ("raw_wikitable_markup", "orphaned_table_footnotes", "repetitive_language"))
+    kept = chunking.reject_chunks(df, "doc_id", "flags", ("raw_wikitable_markup", "orphaned_table_footnotes"))
     return kept.select("doc_id", "chunk_index", "chunk_count", F.array_join("flags", ",").alias("flags"))
 
 

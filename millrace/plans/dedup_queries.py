@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import ids
+from millrace.functions.text import NORMALIZATION, casefold
 from millrace.operators import dedup
 from millrace.plans.catalog import register, table
 
@@ -27,6 +28,10 @@ cascade AS (SELECT doc_id, lang, source, coalesce(reason, CASE WHEN row_number()
 PERMISSION_SQL = "CASE WHEN substr(sha256('millrace-partition-v1|' || {id}), 1, 16) < '1999999999999999' THEN 'validation' WHEN substr(sha256('millrace-partition-v1|' || {id}), 1, 16) < '1eb851eb851eb851' THEN 'anneal' ELSE 'train' END"
 
 
+FIREWALL = {"firewall": {"n": 13, "least": 5}, "order": ["doc_id"], "split": ids.PARTITION_SEED}
+FREEZE_POLICY = dedup.policy_text(NORMALIZATION, FIREWALL)
+
+
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.cascade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
@@ -90,7 +95,7 @@ def j6_rejection_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "j7_freeze",
-    f"WITH {CASCADE_SQL} SELECT doc_id, {PERMISSION_SQL.format(id='doc_id')} AS permission, count(*) OVER (PARTITION BY doc_id) > 1 AS repeated_id, sha256('freeze|v1') AS pipeline_sha256 FROM cascade WHERE status = 'admitted'",
+    f"WITH {CASCADE_SQL} SELECT doc_id, {PERMISSION_SQL.format(id='doc_id')} AS permission, count(*) OVER (PARTITION BY doc_id) > 1 AS repeated_id, sha256('{FREEZE_POLICY}') AS pipeline_sha256 FROM cascade WHERE status = 'admitted'",
 )
 def j7_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admitted records with their split, the pipeline's hash, and whether an id repeats (an error)."""
@@ -98,7 +103,7 @@ def j7_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     df = cascade(spark, sf_dir).where("status = 'admitted'")
     again = F.count("*").over(Window.partitionBy("doc_id")) > 1
-    return df.select("doc_id", ids.permission(F.col("doc_id")).alias("permission"), again.alias("repeated_id"), ids.sha256(F.lit("freeze|v1")).alias("pipeline_sha256"))
+    return df.select("doc_id", ids.permission(F.col("doc_id")).alias("permission"), again.alias("repeated_id"), F.lit(dedup.policy_hash(NORMALIZATION, FIREWALL)).alias("pipeline_sha256"))
 
 
 @register(
@@ -167,24 +172,29 @@ def j9_minhash_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "j11_clean_representative",
-    """SELECT source, min(doc_id) AS doc_id FROM documents WHERE length(text) >= 400 GROUP BY source""",
+    f"""WITH RECURSIVE {NEAR_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+    r(id, reach) AS (SELECT id, id FROM w UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a),
+    c AS (SELECT id, min(reach) AS component FROM r GROUP BY id),
+    d AS (SELECT n.doc_id, c.component, length(t) AS n, len(regexp_extract_all(t, '\\p{{L}}'))::DOUBLE / greatest(1, length(t)) AS alpha FROM n JOIN w USING (t) JOIN c ON w.id = c.id)
+    SELECT component, min(doc_id) AS doc_id FROM d WHERE n >= 400 AND alpha >= 0.6 GROUP BY component""".replace("\\\\p", "\\p"),
 )
 def j11_clean_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each cluster (here: source), the first row that passes the filters."""
-    return table(spark, sf_dir, "documents").where(F.length("text") >= 400).groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    """Of each cluster of near duplicates, the first row that passes the filters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = F.trim(F.regexp_replace(casefold(F.col("text")), r"(?U)\s+", " "))
+    clustered = dedup.near_duplicates(docs, "doc_id").join(docs.select("doc_id", t.alias("t")), "doc_id")
+    passes = (F.length("t") >= 400) & (F.regexp_count("t", F.lit(r"\p{L}")).cast("double") / F.greatest(F.lit(1), F.length("t")) >= 0.6)
+    return dedup.first_per_key(clustered.where(passes), ["component"], ["doc_id"]).select("component", "doc_id")
 
 
 @register(
     "j12_snapshot_reconciliation",
     """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'unlisted' END AS problem
-    FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""",
+    FROM (SELECT DISTINCT doc_id FROM documents) d FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""",
 )
 def j12_snapshot_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids on one side only: a listed snapshot that is missing, or one that isn't listed."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", F.lit(1).alias("d"))
-    listed = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("l", F.lit(1))
-    both = d.join(listed, "doc_id", "full_outer").where("d is null or l is null")
-    return both.select("doc_id", F.when(F.col("d").isNull(), "missing").otherwise("unlisted").alias("problem"))
+    """Ids on one side only: a listed record that is missing, or one that isn't listed."""
+    return dedup.reconcile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @register(
@@ -207,21 +217,6 @@ def j14_manifest_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.col("c_mktsegment").alias("lane"), F.col("n_name").alias("tier"))
 
 
-@register(
-    "j15_ledger_cross_check",
-    """WITH a AS (SELECT event_id AS i, user_id AS u FROM events WHERE event_id % 10 <> 3), b AS (SELECT event_id AS i, CASE WHEN event_id % 100 = 7 THEN -1 ELSE user_id END AS u FROM events WHERE event_id % 10 <> 4)
-    SELECT coalesce(a.i, b.i) AS batch_index, CASE WHEN a.i IS NULL THEN 'no_consumption' WHEN b.i IS NULL THEN 'no_learning' ELSE 'differs' END AS problem
-    FROM a FULL OUTER JOIN b ON a.i = b.i WHERE a.i IS NULL OR b.i IS NULL OR a.u <> b.u""",
-)
-def j15_ledger_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of two ledgers that don't agree by position."""
-    e = table(spark, sf_dir, "events")
-    a = e.where("event_id % 10 <> 3").select(F.col("event_id").alias("batch_index"), F.col("user_id").alias("a"))
-    b = e.where("event_id % 10 <> 4").select(F.col("event_id").alias("batch_index"), F.expr("if(event_id % 100 = 7, -1, user_id)").alias("b"))
-    df = a.join(b, "batch_index", "full_outer").where("a is null or b is null or a <> b")
-    return df.select("batch_index", F.when(F.col("a").isNull(), "no_consumption").when(F.col("b").isNull(), "no_learning").otherwise("differs").alias("problem"))
-
-
 @register(
     "j16_leakage_between_arms",
     "SELECT l_suppkey AS cluster, count(DISTINCT l_returnflag)::BIGINT AS arms FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1",

@@ -124,26 +124,6 @@ def g10_labels_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return banded(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").groupBy("band", "quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@register(
-    "g11_shard_totals",
-    f"SELECT lang, {PERMISSION} AS permission, count(*)::BIGINT AS records, sum(length(text))::BIGINT AS tokens, sum(CASE WHEN {PERMISSION} = 'validation' THEN 0 ELSE length(text) END)::BIGINT AS loss_tokens FROM documents GROUP BY ALL",
-)
-def g11_shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("text")
-    df = table(spark, sf_dir, "documents").select("lang", ids.permission(F.col("doc_id")).alias("permission"), n.alias("n"))
-    return df.groupBy("lang", "permission").agg(F.count("*").alias("records"), F.sum("n").alias("tokens"), F.sum(F.when(F.col("permission") == "validation", 0).otherwise(F.col("n"))).alias("loss_tokens"))
-
-
-@register(
-    "g14_fertility",
-    r"""SELECT lang, sum(length(text))::DOUBLE / sum(len(regexp_extract_all(text, '\S+'))) AS characters_per_word, sum(strlen(text))::DOUBLE / sum(length(text)) AS bytes_per_character FROM documents GROUP BY lang""",
-)
-def g14_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.sum(F.regexp_count("text", F.lit(r"(?U)\S+")))
-    n = F.sum(F.length("text"))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg((n.cast("double") / words).alias("characters_per_word"), (F.sum(F.octet_length("text")).cast("double") / n).alias("bytes_per_character"))
-
-
 @register(
     "g15_ablation_metrics",
     r"""WITH w AS (SELECT lang, text, regexp_extract_all(text, '\S+') AS w FROM documents)

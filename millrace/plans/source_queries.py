@@ -8,35 +8,41 @@ from pyspark.sql import functions as F
 from millrace.functions import ids
 from millrace.plans.catalog import register, table
 from millrace.plans.dedup_queries import PERMISSION_SQL
-from millrace.sources import jsonl
+from millrace.session import scratch_path
+from millrace.sources import blocks, jsonl
 
 
-@register("s7_bucket_scan", "SELECT event_id, user_id, event_type, value FROM events WHERE user_id IN (3, 17, 42)")
+@register(
+    "s7_bucket_scan",
+    """WITH c AS (SELECT n AS counter, (('0x' || substr(sha256('millrace-bucket|src0|' || n), 1, 8))::UBIGINT % 256)::BIGINT AS slot FROM range(0, 8192) t(n)),
+    f AS (SELECT slot, min(counter) AS counter FROM c GROUP BY slot), b AS (SELECT printf('%02x', slot) AS bucket FROM f QUALIFY row_number() OVER (ORDER BY counter) <= 64)
+    SELECT doc_id, lang, source, n_chars FROM documents WHERE substr(sha256(doc_id::VARCHAR), 1, 2) IN (SELECT bucket FROM b)""",
+)
 def s7_bucket_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four columns of chosen buckets only: both reach the scan."""
-    return table(spark, sf_dir, "events").where(F.col("user_id").isin(3, 17, 42)).select("event_id", "user_id", "event_type", "value")
+    """Four columns of the chosen buckets of a table that lies in a folder a bucket: both reach the scan."""
+    path = scratch_path(spark, "buckets")
+    docs = table(spark, sf_dir, "documents").withColumn("hub_bucket", F.substring(ids.sha256(F.col("doc_id").cast("string")), 1, 2))
+    docs.repartition("hub_bucket").write.partitionBy("hub_bucket").parquet(path)
+    chosen = [r.bucket for r in blocks.bucket_ids(spark, "src0", 64).collect()]  # 256 at the most
+    return blocks.bucket_scan(spark, path, chosen, ["doc_id", "lang", "source", "n_chars"])
 
 
 @register("s8_s9_jsonl_round_trip", "SELECT item_id, text FROM benchmark")
 def s8_s9_jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as gzip JSON lines to the shared folder and read back."""
-    import tempfile
-    import uuid
-
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-    path = f"{conf.rstrip('/')}/millrace/jsonl-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "jsonl")
     jsonl.write_jsonl(table(spark, sf_dir, "benchmark"), path, ["item_id"])
     return jsonl.read_jsonl(spark, path, "item_id long, text string")
 
 
-@register(
-    "s14_batches_to_sequences",
-    "SELECT o_custkey AS batch, list(o_orderkey ORDER BY o_orderkey) AS sequences, round(sum(o_totalprice), 6)::DOUBLE AS total FROM orders GROUP BY 1",
-)
-def s14_batches_to_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequences of each batch, in order (orders of a customer)."""
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_custkey").alias("batch")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("sequences"), F.round(F.sum("o_totalprice"), 6).alias("total"))
+@register("s15_cached_pages", "SELECT item_id, text FROM benchmark")
+def s15_cached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows out of cached pages of ten, in the form that a paged service answers in."""
+    path = scratch_path(spark, "pages")
+    rows = table(spark, sf_dir, "benchmark")
+    page = rows.groupBy(F.floor(F.col("item_id") / 10).alias("page")).agg(F.collect_list(F.struct(F.struct("item_id", "text").alias("row"))).alias("rows"))
+    page.select("rows").write.option("compression", "gzip").json(path)
+    return jsonl.cached_rows(spark, path, "item_id long, text string")
 
 
 @register(
@@ -71,9 +77,3 @@ def s19_proxy_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of several fields that holds text."""
     own = F.nullif(F.when(F.col("role") == "user", F.col("text")), F.lit(""))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(own, "text").alias("question")).where("question <> ''")
-
-
-@register("s12_shard_bytes", "SELECT lang, (2 * sum(n_chars))::BIGINT AS bytes FROM documents GROUP BY lang")
-def s12_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size of each lane's binary shard: two bytes an id, characters standing for ids."""
-    return table(spark, sf_dir, "documents").groupBy("lang").agg((2 * F.sum("n_chars")).alias("bytes"))

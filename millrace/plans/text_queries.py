@@ -213,14 +213,30 @@ def f2_f3_parent_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(reason.alias("reason")).agg(F.count("*").alias("parents"))
 
 
+@register(
+    "f3_gates_around_table_cleanup",
+    r"""WITH p AS (SELECT doc_id, source || chr(10) || chr(10) || text AS body FROM documents),
+    c AS (SELECT doc_id, body, regexp_replace(body, '(?m)^[ \t]*[|!].*$', '', 'g') AS kept FROM p)
+    SELECT doc_id, CASE WHEN length(body) < 300 THEN 'too_short_before_cleanup' WHEN NOT regexp_matches(body, '[\p{L}\p{N}]') THEN 'no_language_content'
+      WHEN len(regexp_extract_all(body, chr(65533))) / length(body) > 0.001 THEN 'replacement_character_rate' ELSE 'pass' END AS reason FROM c""",
+)
+def f3_gates_around_table_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length is judged before and after tables are cut out, with reasons of their own (the local texts hold no tables; a unit test has some)."""
+    body = F.concat("source", F.lit("\n\n"), F.col("text"))
+    return quality.gates_around_cleanup(table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))).select("doc_id", "reason")
+
+
 @register(
     "f10_script_fraction",
-    r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ɏ]'))::DOUBLE / greatest(1, len(regexp_extract_all(text, '\p{L}'))) AS script_fraction,
-      len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ɏ]'))::DOUBLE / greatest(1, len(regexp_extract_all(text, '\p{L}'))) >= 0.5 AS passes FROM documents""",
+    r"""WITH t AS (SELECT doc_id, s.script, CASE s.script WHEN 'latin' THEN len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ɏ]')) WHEN 'devanagari' THEN len([x FOR x IN regexp_extract_all(text, '[\x{0900}-\x{097F}]') IF regexp_matches(x, '\p{L}')])
+      ELSE len([x FOR x IN regexp_extract_all(text, '[\x{0B80}-\x{0BFF}]') IF regexp_matches(x, '\p{L}')]) END AS own, len(regexp_extract_all(text, '\p{L}')) AS letters FROM documents, (VALUES ('latin'), ('devanagari'), ('tamil')) s(script))
+    SELECT doc_id, script, own::DOUBLE / greatest(1, letters) AS script_fraction, own::DOUBLE / greatest(1, letters) >= 0.5 AS passes FROM t""",
 )
 def f10_script_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = quality.fraction(F.regexp_count("text", F.lit("[A-Za-zÀ-ÖØ-öø-ɏ]")), F.regexp_count("text", F.lit(r"\p{L}")))
-    return table(spark, sf_dir, "documents").select("doc_id", f.alias("script_fraction"), (f >= 0.5).alias("passes"))
+    """The share of letters that are of a script, for three of the scripts that are known."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("script"), quality.script_fraction(F.col("text"), k).alias("script_fraction")) for k in ("latin", "devanagari", "tamil")])).alias("x"))
+    return rows.select("doc_id", "x.script", "x.script_fraction", (F.col("x.script_fraction") >= 0.5).alias("passes"))
 
 
 @register(
@@ -236,13 +252,18 @@ def f11_repeated_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", ((F.size("w") >= 9) & (share > 0.3)).alias("repeated"))
 
 
-@register(
-    "f12_revision_predicates",
-    r"""SELECT page_id, regexp_matches(sha1(url), '^[0-9a-f]{40,64}$') AS immutable, regexp_matches(url, '^(main|master|HEAD)$') AS mutable FROM pages""",
-)
+REVISIONS_SQL = "r AS (SELECT page_id, unnest(['main', 'refs/heads/dev', sha1(url), substr(sha1(url), 1, 39), upper(sha1(url)), sha256(url), url]) AS revision FROM pages)"
+
+
+@register("f12_revision_predicates", f"WITH {REVISIONS_SQL} SELECT page_id, revision, regexp_matches(revision, '^[0-9a-f]{{40,64}}$') AS immutable, revision IN ('main', 'master', 'HEAD', 'latest') OR revision LIKE 'refs/heads/%' AS mutable FROM r")
 def f12_revision_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.sha1(F.col("url").cast("binary")).rlike("^[0-9a-f]{40,64}$").alias("immutable"), F.col("url").rlike("^(main|master|HEAD)$").alias("mutable"))
+    """Names of branches and hashes of 40 to 64 hex digits, over revisions of every form for each page."""
+    from millrace.sources.revisions import is_immutable, is_mutable
+
+    url = F.col("url").cast("binary")
+    forms = F.array(F.lit("main"), F.lit("refs/heads/dev"), F.sha1(url), F.substring(F.sha1(url), 1, 39), F.upper(F.sha1(url)), F.sha2(url, 256), F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(forms).alias("revision"))
+    return rows.select("page_id", "revision", is_immutable(F.col("revision")).alias("immutable"), is_mutable(F.col("revision")).alias("mutable"))
 
 
 @register(
@@ -293,11 +314,42 @@ def p6_conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("conv_id", F.array_join("turns.t", "\n").alias("text"))
 
 
-@register("p8_license_gate", "SELECT lower(c_mktsegment) AS mode, count(*)::BIGINT AS n FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery') GROUP BY 1")
+@register(
+    "p4_reasoning_text",
+    r"""WITH p AS (SELECT conv_id, arg_min(CASE WHEN role = 'user' THEN trim(text, E' \t\n\r') END, turn) AS q, arg_min(CASE WHEN role = 'assistant' THEN trim(text, E' \t\n\r') END, turn) AS a FROM conversations GROUP BY conv_id)
+    SELECT conv_id, '<question>' || chr(10) || q || chr(10) || '<reasoning>' || chr(10) || a AS text, sha256(q) AS upstream_id FROM p WHERE q IS NOT NULL AND a IS NOT NULL""",
+)
+def p4_reasoning_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first question and answer of each conversation in the form of a reasoning record, identified by the question's hash."""
+    from millrace.functions.projections import reasoning
+
+    side = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
+    pairs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(side("user").alias("question"), side("assistant").alias("answer")).where("question is not null and answer is not null")
+    return pairs.select("conv_id", *reasoning(F.col("question"), F.col("answer")))
+
+
+@register("p7_plain_projection", "SELECT doc_id::VARCHAR AS upstream_id, text, lang AS languages FROM documents")
+def p7_plain_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and id as they are, with the columns that stay as metadata."""
+    from millrace.functions.projections import plain
+
+    return table(spark, sf_dir, "documents").select(*plain(F.col("text"), F.col("doc_id")), F.col("lang").alias("languages"))
+
+
+LICENSE = r"(?i)(gnu general public license|apache license|mit license|cc by)"
+
+
+@register(
+    "p8_license_gate",
+    r"""WITH l AS (SELECT doc_id, nullif(lower(regexp_extract(text, '(?i)(gnu general public license|apache license|mit license|cc by)', 1)), '') AS license FROM documents)
+    SELECT doc_id, license FROM l WHERE license IN ('apache license', 'mit license')""",
+)
 def p8_license_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose lower-cased license (here: market segment) is on the allowed list."""
-    kept = table(spark, sf_dir, "customer").withColumn("mode", F.lower("c_mktsegment")).where(F.col("mode").isin("building", "machinery"))
-    return kept.groupBy("mode").agg(F.count("*").alias("n"))
+    """Records whose license, the first that a text names, is on the allowed list."""
+    from millrace.functions.projections import license_gate
+
+    named = table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.regexp_extract("text", LICENSE, 1), F.lit("")).alias("license"))
+    return license_gate(named, "license", ["MIT License", "Apache License"]).select("doc_id", F.lower("license").alias("license"))
 
 
 @register(
@@ -312,17 +364,17 @@ def p10_latest_raw_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "p11_previews",
-    r"""WITH c AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+    r"""WITH c AS (SELECT doc_id, text, string_split(text, 'the') AS parts, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+    p AS (SELECT *, [list_sum([length(x) FOR x IN parts[1:k]])::BIGINT + 3 * (k - 1) + 1 FOR k IN range(1, least(3, len(parts) - 1) + 1)] AS places FROM c)
     SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE t[1:100] || ' … ' || t[-100:] END AS preview,
-      CASE WHEN strpos(text, 'the') > 0 THEN substr(text, greatest(1, strpos(text, 'the') - 180), strpos(text, 'the') + 183 - greatest(1, strpos(text, 'the') - 180)) END AS marker_context FROM c""",
+      array_to_string([trim(regexp_replace(text[greatest(1, a - 180):a + 182], '\s+', ' ', 'g')) FOR a IN places], chr(10)) AS marker_contexts FROM p""",
 )
 def p11_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Head and tail with white space collapsed, and the surroundings of a marker's first place."""
-    t = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    at = F.instr("text", F.lit("the"))
-    begin = F.greatest(F.lit(1), at - 180)
-    preview = F.when(F.length(t) <= 200, t).otherwise(F.concat(F.substring(t, 1, 100), F.lit(" … "), F.right(t, F.lit(100))))
-    return table(spark, sf_dir, "documents").select("doc_id", preview.alias("preview"), F.when(at > 0, F.substring(F.col("text"), begin, at + 183 - begin)).alias("marker_context"))
+    """Head and tail with white space collapsed, and the surroundings, collapsed too, of the first three places of a marker."""
+    from millrace.functions.text import marker_contexts, preview
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return marker_contexts(docs, "the").select("doc_id", preview(F.col("text")).alias("preview"), F.array_join("_contexts", "\n").alias("marker_contexts"))
 
 
 @register(

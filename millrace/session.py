@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,3 +43,32 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(file, str(file.relative_to(top.parent)))
         context.addPyFile(path)
     return spark
+
+
+_own: str | None = None
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and the master is this machine."""
+    global _own
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+    return f"file://{_own}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df, name: str = "t"):
+    """df written to the shared folder and read back: computed once, and a cut in the lineage that survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

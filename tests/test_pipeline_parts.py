@@ -29,6 +29,30 @@ def test_allocation(spark):
         allocation.difficulty_bands(rows, ["lane"], "n", "record_id", (("B0", "0.5"), ("B1", "0.4"), ("B2", "1")))
 
 
+def test_schedule_follows_the_supply(spark):
+    kinds = "permission string, band string, lane string, tier string, loss long"
+    lanes = [(p, b, lane, None, 500) for p in ("train", "anneal") for b in ("B0", "B1") for lane in ("general", "code")]
+    tiers = [("train", b, "indic", t, 100) for b in ("B0", "B1") for t in allocation.TIERS] + [("anneal", "B1", "indic", "translated", 60), ("validation", "B0", "general", None, 10**6)]
+    supply = spark.createDataFrame(lanes + tiers, kinds)
+    stages = (("first", "0.9", 256, ("B0",), "train"), ("last", "0.1", 256, ("B1",), "anneal"))
+    options = {"mixture": {"general": "0.6", "code": "0.3", "indic": "0.1"}, "floors": {"indic": "0.1"}}
+    plan = allocation.executable_schedule(500, supply, stages, **options)
+    assert [s["target"] for s in plan] == [450, 50] and plan[1]["tiers"] == {"translated": 5} and sum(plan[0]["tiers"].values()) == plan[0]["lanes"]["indic"] == 45
+    with pytest.raises(ValueError, match="first: general asks for 540 of 500"):
+        allocation.executable_schedule(1000, supply, stages, **options)
+    rows = supply_problem = allocation.supply_problems(plan, [])
+    assert len(rows) == 6 + len(plan[0]["tiers"]) + 1 and supply_problem[0][:3] == ("first", "general", None)
+    records = spark.createDataFrame([(i, "indic", t, "B0", 10, 1_000_000, p) for i, (t, p) in enumerate((t, p) for t in ("a", "b") for p in ("train", "anneal") for _ in range(6))] + [(100 + i, "general", "a", "B0", 7, 1_000_000, "train") for i in range(5)], "record_id long, lane string, tier string, band string, loss long, weight_micros long, permission string")
+    targets = spark.createDataFrame([("indic", "a", 25), ("indic", "b", 40), ("general", None, 20)], "lane string, tier string, target long")
+    chosen = allocation.select_stage(records, "s", targets, ("B0",), "seed", "train")
+    got = {(r.lane, r.tier): r.n for r in chosen.groupBy("lane", "tier").agg(F.sum("selected").alias("n")).collect()}
+    assert got == {("indic", "a"): 25, ("indic", "b"): 40, ("general", "a"): 20} and not {r.record_id for r in chosen.collect()} & set(range(6, 12))
+    wanted = targets.withColumn("stage", F.lit("s"))
+    assert allocation.require_targets(chosen, wanted) is chosen
+    with pytest.raises(ValueError, match="s general: 20 of 21"):
+        allocation.require_targets(chosen, wanted.withColumn("target", F.expr("if(lane = 'general', 21, target)")))
+
+
 def test_floors_equal_giving_one_by_one():
     r = random.Random(4)
     for _ in range(300):
@@ -212,3 +236,87 @@ def test_sources(spark, tmp_path):
     assert jsonl.shard_bytes([1, 65535]) == b"\x01\x00\xff\xff"
     with pytest.raises(ValueError):
         jsonl.shard_bytes([1 << 16])
+
+
+def test_fork_proofs_and_cross_check(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([(r, i, f"{r}{i}") for r in ("a", "b") for i in range(6)], "run string, place long, payload string")
+    old = ledger.chain_runs(rows)
+    new = ledger.fork(old, 4, rows.select("run", "place", F.concat("payload", F.lit("!")).alias("payload"))).orderBy("run", "place").collect()
+    for run in ("a", "b"):
+        mine = [r for r in new if r.run == run]
+        assert [r.payload for r in mine] == [f"{run}{i}" + "!" * (i > 3) for i in range(6)] and [(r.previous_hash, r.entry_hash) for r in mine] == ledger.chain([r.payload for r in mine])
+    with pytest.raises(ValueError):
+        ledger.fork(old.where("place <> 2"), 4, rows)
+    sequences = spark.createDataFrame([(i, 10 * i, 9, [i, 1], [0, 1], [0, 0], [0, 1]) for i in range(5)], "sequence_index long, token_offset long, nonpadding long, tokens array<int>, loss array<int>, segments array<int>, positions array<int>")
+    made = spark.createDataFrame([("s", 0, [3, 1], 5), ("s", 1, [0], 2), ("t", 0, [4, 2], 7)], "stage string, batch long, ids array<long>, loss long")
+    proofs = {(r.stage, r.batch): r for r in ledger.batch_proofs(made, sequences).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    one = proofs["s", 0]
+    assert one.spans == "30+9;10+9" and one.tokens_hash == sha(sha("3,1") + "|" + sha("1,1"))
+    assert one.proof == sha("|".join(["s", "0", one.spans, one.tokens_hash, one.loss_hash, one.segments_hash, one.positions_hash]))
+    a, b = ledger.consumption_and_learning(made, ledger.batch_proofs(made, sequences))
+    assert ledger.cross_check(a, b).count() == 0 and ledger.verify(a).count() == ledger.verify(b).count() == 0
+    found = ledger.cross_check(a.where("run = 's'"), b.where("place = 0").withColumn("payload", F.regexp_replace("payload", r"\|.{8}", "|xxxxxxxx")))
+    assert sorted(map(tuple, found.collect())) == [("s", 0, "other_entry"), ("s", 1, "no_learning"), ("t", 0, "no_consumption")]
+    assert sorted(map(tuple, packing.usage_problems(made.where("stage = 's'").union(made.where("batch = 1")), sequences).collect())) == [(0, "repeated"), (2, "lost"), (4, "lost")]
+
+
+def test_shards_and_manifest_rules(spark):
+    import numpy as np
+
+    from millrace.operators import shards
+
+    rows = [("l", "train", i, [2, 300 + i, 3], [0, 1, 1]) for i in range(10)] + [("l", "validation", 50, [2, 3], [0, 0])]
+    indexed = shards.index(spark.createDataFrame(rows, "lane string, permission string, record_id long, tokens array<int>, loss array<tinyint>"), 4)
+    assert {r.record_id: r.token_offset for r in indexed.collect()} == {**{i: 3 * i for i in range(10)}, 50: 0} and shards.offset_gaps(indexed).count() == 0
+    parts = shards.segments(indexed, 8).orderBy("permission", "segment").collect()
+    assert [r.records for r in parts] == [3, 3, 2, 2, 1] and np.frombuffer(bytes(parts[0].payload), "<u2").tolist() == [2, 300, 3, 2, 301, 3, 2, 302, 3]
+    m = shards.manifest(shards.segments(indexed, 8))
+    assert m.select(F.flatten(F.collect_list(shards.violations(m, ("l",))))).first()[0] == [] and {r.segments for r in m.collect()} == {4, 1}
+    bad = m.where("permission = 'validation'").withColumn("loss_tokens", F.lit(9).cast("long")).withColumn("shard_hash", F.lit("md5:1"))
+    assert bad.select(shards.violations(bad, ("other",)).alias("v")).first().v == ["unknown_lane", "hash_form", "loss_over_tokens", "loss_where_none_is_allowed"]
+
+
+def test_revisions_projections_gates_and_canaries(spark):
+    from millrace.functions import projections, quality, text
+    from millrace.sources import revisions
+
+    h = "0123456789abcdef" * 3
+    targets = spark.createDataFrame([("a", "x/a", h), ("b", "x/b", "main"), ("c", "x/c", h), ("d", "x/d", h), ("e", "local/e", "v0")], "source_id string, dataset string, revision string")
+    found = spark.createDataFrame([("x/a", h), ("x/b", "main"), ("x/c", h[::-1])], "dataset string, sha string")
+    assert sorted(map(tuple, revisions.revision_problems(targets, found).collect())) == [("b", "not_pinned"), ("c", "other_revision"), ("d", "not_found")]
+    with pytest.raises(ValueError, match="b \\(not_pinned\\)"):
+        revisions.verified(targets, found)
+    q = spark.createDataFrame([(" 1 + 1? ", "2\n")], "q string, a string").select(*projections.reasoning(F.col("q"), F.col("a"))).first()
+    assert q.text == "<question>\n1 + 1?\n<reasoning>\n2" and len(q.upstream_id) == 64
+    licenses = spark.createDataFrame([("MIT",), ("GPL-3.0",), (None,), ("apache-2.0",)], "license string")
+    assert sorted(r.license for r in projections.license_gate(licenses, "license", ["mit", "Apache-2.0"]).collect()) == ["MIT", "apache-2.0"]
+    table = "{| class=x\n" + "| cell\n" * 60 + "|}\n"
+    docs = spark.createDataFrame([("short",), (table + "a few words",), ("words " * 80,), ("- " * 200,), (None,)], "text string")
+    assert [r.reason for r in quality.gates_around_cleanup(docs).collect()] == ["too_short_before_cleanup", "too_short_after_cleanup", "pass", "no_language_content", "too_short_before_cleanup"]
+    hindi = spark.createDataFrame([("\u0939\u093f\u0928\u094d\u0926\u0940 ab",)], "text string")
+    assert hindi.select(quality.script_fraction(F.col("text"), "devanagari")).first()[0] == 3 / 5
+    marked = text.marker_contexts(spark.createDataFrame([("aXX  b\nXX cXXXXd",), ("none",), (None,)], "text string"), "XX", 3, 2).collect()
+    assert [r._contexts for r in marked] == [["aXX", "b XX c", "cXXXX"], [], []]
+    docs = spark.createDataFrame([(1, "Some STRASSE here"), (2, "none"), (3, None), (4, "canary-1 canary-12")], "doc_id long, text string")
+    canaries = spark.createDataFrame([("stra\u00dfe",), ("",), ("canary-1",), ("canary-12",)], "canary string")
+    assert sorted(map(tuple, dedup.canary_hits(docs, canaries).collect())) == [(1, "strasse"), (4, "canary-1"), (4, "canary-12")]
+
+
+def test_firewall_by_brute_force(spark):
+    r = random.Random(21)
+    word = lambda: r.choice("abcd")
+    items = [[word() for _ in range(r.choice([3, 5, 6, 9, 13, 16]))] for _ in range(12)]
+    rows = [(i, [word() for _ in range(r.randint(0, 60))]) for i in range(80)]
+    want = set()
+    for i, w in rows:
+        for v in items:
+            k = min(13, len(v))
+            grams = {tuple(v[j : j + k]) for j in range(len(v) - k + 1)} if k >= 5 else set()
+            if any(tuple(w[j : j + k]) in grams for j in range(len(w) - k + 1)):
+                want.add(i)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(None, "x"), (200, None)], "doc_id long, text string")
+    got = dedup.overlapping(docs, spark.createDataFrame([(" ".join(v),) for v in items], "text string"), "doc_id")
+    assert {x.doc_id for x in got.collect()} == want and 5 < len(want) < 80

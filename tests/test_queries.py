@@ -1,4 +1,4 @@
-"""Every query of the engine's own operators that has SQL, against DuckDB at the smallest scale."""
+"""Every query of the engine's own operators at the smallest scale; those that have SQL against DuckDB."""
 
 import os
 
@@ -18,14 +18,17 @@ def plain(x):
 def names():
     from millrace.plans import catalog
 
-    return sorted(catalog.oracle_sql())
+    return sorted(catalog.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 @pytest.mark.parametrize("name", names())
-def test_query_equals_sql(spark, name):
+def test_query_runs_and_equals_sql(spark, name):
     from millrace.plans import catalog
 
+    if name not in catalog.oracle_sql():
+        assert catalog.queries()[name](spark, SF).collect() is not None
+        return
     db = duckdb.connect()
     for t in TABLES:
         path = f"{SF}/{t}.parquet"
