@@ -161,11 +161,12 @@ def a10_select_for_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a8_a10_executable_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A schedule that the documents' supply can fill, by permission, band, lane and tier, and the records chosen for it: what each target got."""
     lane = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "general", "fr", "indic", "de", "code", "es", "agentic")]), F.col("lang"))
-    tier = F.element_at(F.array(*[F.lit(t) for t in allocation.TIERS]), (F.crc32(F.col("source").cast("binary")) % len(allocation.TIERS) + 1).cast("int"))
+    tiers = {"verified_native": "0.6", "translated": "0.4"}
+    tier = F.element_at(F.array(*[F.lit(t) for t in tiers]), (F.crc32(F.col("source").cast("binary")) % len(tiers) + 1).cast("int"))
     records = banded(spark, sf_dir).select(F.col("doc_id").alias("record_id"), lane.alias("lane"), F.when(lane == "indic", tier).alias("tier"), "band", F.col("n_chars").alias("loss"), F.lit(1_000_000).alias("weight_micros"), ids.permission(F.col("doc_id")).alias("permission"))
     total = records.where("permission = 'train'").agg(F.sum("loss")).first()[0] or 0
-    stages = (("one", "0.4", 256, ("B0", "B1", "B2", "B3"), "train"), ("two", "0.6", 512, ("B2", "B3", "B4", "B5"), "train"))
-    plan = allocation.executable_schedule(total // 50, records, stages, mixture={"general": "0.8", "indic": "0.1", "code": "0.08", "agentic": "0.02"}, floors={"indic": "0.1"})
+    stages = (("one", "0.4", 256, ("B0", "B1", "B2"), "train"), ("two", "0.6", 512, ("B3", "B4", "B5"), "train"))
+    plan = allocation.executable_schedule(total // 100, records, stages, mixture={"general": "0.8", "indic": "0.1", "code": "0.08", "agentic": "0.02"}, floors={"indic": "0.1"}, tiers=tiers)
     targets = [allocation.stage_targets(spark, s).withColumn("stage", F.lit(s["stage"])) for s in plan]
     every = targets[0].union(targets[1])
     chosen = allocation.select_for_schedule(records, [(s["stage"], t, s["bands"], s["permission"]) for s, t in zip(plan, targets, strict=True)], "millrace-order")
