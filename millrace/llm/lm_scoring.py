@@ -6,9 +6,9 @@ mixed with its children's by their weighted block probabilities, so every depth
 that training has seen, nothing is mixed in. The probability of a byte is a product of eight mixtures, and
 `bits_per_byte` its code length.
 
-Counting and scoring go by exchange. A document group (shared.py) sends each distinct (context, byte) it holds once
-with its training count, to a bucket by the last three bytes; buckets add up the groups' counts; trees are built by the
-last two bytes, and only the nodes of depths 0 and 1 (at most 256 * 255 and 255 rows, whatever the corpus) are gathered
+Counting and scoring go by exchange. A document group of about 32 MB of text, which is worked off in slices of 1 MB, sends
+each distinct (context, byte) it holds once with its training count, to a bucket by the last four bytes; buckets add up
+the groups' counts; trees are built by the last two bytes, and only the nodes of depths 0 and 1 (at most 256 * 255 and 255 rows, whatever the corpus) are gathered
 to join them; then the buckets answer each group with the log-probabilities of what it holds. Words for the base score
 travel the same way. Neither counts nor model are ever in one place.
 
@@ -23,13 +23,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import MESSAGE, MESSAGE_SCHEMA, REPLY, REPLY_SCHEMA, U64, bucket_of, columns, group_count, grouped, pack, runs, slices, stored, unpack
+from millrace.llm.shared import MESSAGE, MESSAGE_SCHEMA, REPLY, REPLY_SCHEMA, U64, bucket_of, columns, grouped, pack, release, runs, slices, stored, text_bytes, unpack
 from millrace.llm.words import Words, mix
 
-DEPTH = 5
+DEPTH = 6
+WIDTH = DEPTH + 1  # bytes of a key
+SLICE = 1 << 20
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 RESULT_SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]
@@ -68,21 +71,57 @@ def _near(keys: np.ndarray, count: int) -> np.ndarray:
     return mix((keys >> U64(8 * (DEPTH + 1 - count))) + U64(1))
 
 
-def _send(buckets: int):
+def _parts(table: pa.Table, slice_bytes: int):
+    """Row ranges of a group with about slice_bytes bytes of text each; a longer text is a range of its own."""
+    size = pc.fill_null(pc.binary_length(table["text"]), 0).to_numpy()
+    bin_ = np.cumsum(size) // slice_bytes
+    cut = [0, *(np.flatnonzero(np.diff(bin_)) + 1).tolist(), table.num_rows]
+    return [(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+
+
+def _distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, of keys with a last bit that is 1 where they don't count, and how often each counts."""
+    found.sort()
+    keys = found >> U64(1)
+    first, length = runs(keys)
+    fresh = np.add.reduceat(1 - (found & U64(1)).astype(np.int64), first) if len(first) else length
+    return keys[first], fresh
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
+    order = np.argsort(keys, kind="stable")  # runs that are sorted already are merged
+    keys, n = keys[order], n[order]
+    first, _ = runs(keys)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _add(parts: list, part: tuple[np.ndarray, np.ndarray]) -> None:
+    """Puts a slice's keys to those before it; parts of like size are merged at once, so few are ever held twice."""
+    parts.append(part)
+    while len(parts) > 1 and len(parts[-2][0]) < 2 * len(parts[-1][0]):
+        parts[-2:] = [_merged(parts[-2:])]
+
+
+def _send(buckets: int, slice_bytes: int):
     """Distinct (context, byte) keys to buckets 0 .. buckets - 1, and distinct words to as many more behind them, with training counts."""
 
     def send(table: pa.Table) -> pa.Table:
         g = table["g"][0].as_py()
-        held = np.array([is_held_out(i) for i in table["doc_id"].to_pylist()])
-        words = Words(table["text"], lower=True)
+        held = np.array([is_held_out(i) for i in table["doc_id"].to_pylist()], np.uint64)
         out: dict[str, list] = {"b": [], "g": [], "p": [], "q": []}
-
-        def put(found: np.ndarray, shift: int, hashes, width: int) -> None:
-            found.sort()
-            keys = found >> U64(1)
-            first, length = runs(keys)
-            fresh = np.add.reduceat(1 - (found & U64(1)).astype(np.int64), first) if len(first) else length
-            keys = keys[first]
+        contexts, tokens = [], []
+        for a, b in _parts(table, slice_bytes):
+            words = Words(table["text"].slice(a, b - a), lower=True)
+            keys, first = byte_keys(words.data, words.offsets)
+            _add(contexts, _distinct((keys << U64(1)) | np.repeat(held[a:b], np.diff(first))))
+            h = (words.hashes() >> U64(1)) << U64(1)
+            _add(tokens, _distinct(h | np.repeat(held[a:b], words.count)))
+
+        def put(parts: list, shift: int, hashes, width: int) -> None:
+            keys, fresh = _merged(parts)
             b = bucket_of(hashes(keys), buckets)
             order = np.argsort(b, kind="stable")
             keys, fresh, b = keys[order], fresh[order], b[order]
@@ -91,11 +130,11 @@ def _send(buckets: int):
                 out["p"].append(pack(keys[i:j], width))
                 out["q"].append(pack(fresh[i:j], 4))
 
-        keys, first = byte_keys(words.data, words.offsets)
-        put((keys << U64(1)) | np.repeat(held, np.diff(first)).astype(np.uint64), 0, lambda k: _near(k, 3), 6)
-        h = (words.hashes() >> U64(1)) << U64(1)
-        put(h | np.repeat(held, words.count).astype(np.uint64), buckets, lambda k: k << U64(1), 8)
+        put(contexts, 0, lambda k: _near(k, 4), WIDTH)
+        put(tokens, buckets, lambda k: k << U64(1), 8)
         out["g"] = [g] * len(out["b"])
+        del contexts, tokens
+        release()
         return columns(MESSAGE_SCHEMA, **out)
 
     return send
@@ -119,15 +158,15 @@ def _total(buckets: int):
         out: dict[str, list] = {"b": [], "g": [], "p": [], "q": []}
         if b >= buckets:
             _, n = _gather(table, 8)
-            out = {"b": [-1], "g": [b], "p": [b""], "q": [np.array([(n > 0).sum(), n.sum()], np.int64).tobytes()]}
+            out = {"b": [-1], "g": [b], "p": [b""], "q": [f"{(n > 0).sum()} {n.sum()}".encode()]}
         else:
-            keys, n = _gather(table, 6)
+            keys, n = _gather(table, WIDTH)
             part = bucket_of(_near(keys, 2), buckets)
             order = np.argsort(part, kind="stable")
             keys, n, part = keys[order], n[order], part[order]
             for k, i, j in slices(part):
                 out["b"].append(k)
-                out["p"].append(pack(keys[i:j], 6))
+                out["p"].append(pack(keys[i:j], WIDTH))
                 out["q"].append(pack(np.minimum(n[i:j], (1 << 40) - 1), 5))
             out["g"] = [b] * len(out["b"])
         return columns(MESSAGE_SCHEMA, **out)
@@ -212,9 +251,9 @@ def log_probability(keys: np.ndarray, depths: list[Nodes]) -> np.ndarray:
 
 def _counts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a tree part: all keys, ascending, their training counts and the bucket each came from."""
-    key = np.concatenate([unpack(p, 6) for p in table["p"].to_pylist()])
+    key = np.concatenate([unpack(p, WIDTH) for p in table["p"].to_pylist()])
     n = np.concatenate([unpack(q, 5) for q in table["q"].to_pylist()]).astype(np.int64)
-    source = np.repeat(table["g"].to_numpy(), [len(p) // 6 for p in table["p"].to_pylist()])
+    source = np.repeat(table["g"].to_numpy(), [len(p) // WIDTH for p in table["p"].to_pylist()])
     order = np.argsort(key)
     return key[order], n[order], source[order]
 
@@ -234,7 +273,7 @@ def _probabilities(upper):
         out: dict[str, list] = {"b": [], "g": [], "p": [], "q": []}
         for b, i, j in slices(source[order]):
             out["b"].append(b)
-            out["p"].append(pack(keys[order[i:j]], 6))
+            out["p"].append(pack(keys[order[i:j]], WIDTH))
             out["q"].append(logs[order[i:j]].astype("<f4").tobytes())
         out["g"] = [table["b"][0].as_py()] * len(out["b"])
         return columns(MESSAGE_SCHEMA, **out)
@@ -251,8 +290,8 @@ def _answer(buckets: int):
         if b >= buckets:
             keys, values, width, kind = *_gather(messages, 8), 8, np.int64
         else:
-            keys = np.concatenate([unpack(p, 6) for p in model["p"].to_pylist()])
-            values, width, kind = np.concatenate([np.frombuffer(q, "<f4") for q in model["q"].to_pylist()]), 6, np.float32
+            keys = np.concatenate([unpack(p, WIDTH) for p in model["p"].to_pylist()])
+            values, width, kind = np.concatenate([np.frombuffer(q, "<f4") for q in model["q"].to_pylist()]), WIDTH, np.float32
             order = np.argsort(keys)
             keys, values = keys[order], values[order]
         for g, p in zip(messages["g"].to_pylist(), messages["p"].to_pylist(), strict=True):
@@ -294,51 +333,59 @@ class Index:
         return out
 
 
-def _score(buckets: int, known: int, total: int, ends: int):
+def _score(buckets: int, known: int, total: int, ends: int, slice_bytes: int):
     """known: distinct training tokens; total: all training tokens; ends: training texts."""
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         parts = {True: ([], []), False: ([], [])}
         for b, p, q in zip(replies["b"].to_pylist(), replies["p"].to_pylist(), replies["q"].to_pylist(), strict=True):
             keys, values = parts[b >= buckets]
-            keys.append(unpack(p, 8 if b >= buckets else 6))
+            keys.append(unpack(p, 8 if b >= buckets else WIDTH))
             values.append(np.frombuffer(q, np.int64 if b >= buckets else np.float32))
-        words = Words(table["text"], lower=True)
-        keys, first = byte_keys(words.data, words.offsets)
-        logs = np.concatenate(parts[False][1])[Index(np.concatenate(parts[False][0])).find(keys)].astype(np.float64)
-        n = len(words.count)
-        counts = np.full(len(words) + n, ends, np.int64)
-        begin = words.first + np.arange(n + 1)
-        if len(words):
-            h = words.hashes() >> U64(1)
-            found = np.concatenate(parts[True][1])[Index(np.concatenate(parts[True][0])).find(h)]
-            counts[np.arange(len(words)) + words.row()] = found
-        base = np.log10((counts + 1) / (total + known + 1))
-        ids = table["doc_id"].combine_chunks()
-        return columns(
-            RESULT_SCHEMA,
-            doc_id=ids,
-            held_out=[is_held_out(i) for i in ids.to_pylist()],
-            n_tokens=words.count + 1,
-            n_known=np.add.reduceat((counts > 0).astype(np.int64), begin[:-1]),
-            base_score=np.add.reduceat(base, begin[:-1]),
-            score=np.add.reduceat(logs, first[:-1]),
-            n_bytes=np.diff(words.offsets),
-        )
+        del replies
+        nothing = np.zeros(0, np.uint64)
+        contexts, log_of = Index(np.concatenate([nothing, *parts[False][0]])), np.concatenate([np.zeros(0, np.float32), *parts[False][1]])
+        tokens, count_of = Index(np.concatenate([nothing, *parts[True][0]])), np.concatenate([np.zeros(0, np.int64), *parts[True][1]])
+        del parts
+        ids, out = table["doc_id"].combine_chunks(), []
+        for a, b in _parts(table, slice_bytes):
+            words = Words(table["text"].slice(a, b - a), lower=True)
+            keys, first = byte_keys(words.data, words.offsets)
+            logs = log_of[contexts.find(keys)].astype(np.float64)
+            n = len(words.count)
+            counts = np.full(len(words) + n, ends, np.int64)
+            begin = words.first + np.arange(n + 1)
+            if len(words):
+                counts[np.arange(len(words)) + words.row()] = count_of[tokens.find(words.hashes() >> U64(1))]
+            base = np.log10((counts + 1) / (total + known + 1))
+            out.append(
+                columns(
+                    RESULT_SCHEMA,
+                    doc_id=ids.slice(a, b - a),
+                    held_out=[is_held_out(i) for i in ids.slice(a, b - a).to_pylist()],
+                    n_tokens=words.count + 1,
+                    n_known=np.add.reduceat((counts > 0).astype(np.int64), begin[:-1]),
+                    base_score=np.add.reduceat(base, begin[:-1]),
+                    score=np.add.reduceat(logs, first[:-1]),
+                    n_bytes=np.diff(words.offsets),
+                )
+            )
+        del contexts, tokens
+        release()
+        return pa.concat_tables(out)
 
     return score
 
 
-def score_texts(docs: DataFrame, group_bytes: int = 4 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, group_bytes: int = 32 << 20, slice_bytes: int = SLICE) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte."""
     spark = docs.sparkSession
-    groups = group_count(docs, group_bytes)
-    buckets = groups
+    groups = buckets = max(spark.sparkContext.defaultParallelism, -(-text_bytes(docs) // group_bytes))
     texts = grouped(docs, groups)
-    messages = stored(texts.groupBy("g").applyInArrow(_send(buckets), MESSAGE), "keys")
+    messages = stored(texts.groupBy("g").applyInArrow(_send(buckets, slice_bytes), MESSAGE), "keys")
     totals = stored(messages.groupBy("b").applyInArrow(_total(buckets), MESSAGE), "counts")
-    number = np.array([np.frombuffer(r.q, np.int64) for r in totals.where("b < 0").select("q").collect()]).reshape(-1, 2).sum(axis=0)  # a row a bucket
+    number = totals.where("b < 0").select(F.split(F.col("q").cast("string"), " ").alias("n")).agg(*[F.sum(F.col("n")[i].cast("long")) for i in (0, 1)]).first()
+    number = [x or 0 for x in number]
     nodes = totals.where("b >= 0").groupBy("b").applyInArrow(_upper, NODE).groupBy("c1", "m").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
     upper = sorted(tuple(r) for r in nodes.collect())  # at most 256 * 255 rows
     c1, m, n0, n1, below = (np.array([r[i] for r in upper], np.float64 if i > 1 else np.uint64) for i in range(5))
@@ -348,6 +395,6 @@ def score_texts(docs: DataFrame, group_bytes: int = 4 << 20) -> DataFrame:
     model = totals.where("b >= 0").groupBy("b").applyInArrow(_probabilities(spark.sparkContext.broadcast((one, root))), MESSAGE)
     replies = messages.groupBy("b").cogroup(model.groupBy("b")).applyInArrow(_answer(buckets), REPLY)
     known, total = int(number[0]) + (ends > 0), int(number[1]) + ends
-    scored = texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_score(buckets, known, total, ends), RESULT)
+    scored = texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_score(buckets, known, total, ends, slice_bytes), RESULT)
     bits = -F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -220,7 +220,7 @@ def brute_ctw(texts, ask, depth=lm_scoring.DEPTH):
 def test_lm_scoring(docs, rows, no_docs):
     short = [r for r in rows if len(r[1] or "") < 900]
     df = docs.where("coalesce(length(text), 0) < 900")
-    got = lm_scoring.score_texts(df, group_bytes=1 << 12).collect()
+    got = lm_scoring.score_texts(df, group_bytes=1 << 12, slice_bytes=500).collect()  # several groups of several slices
     train = [r for r in short if not lm_scoring.is_held_out(r[0])]
     c = Counter(w for r in train for w in [*(r[1] or "").lower().split(), None])
     n, v = sum(c.values()), len(c)
