@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from millrace.session import stored
+
 # What a unit is, and the size limits of vocabulary entries.
 UNIT = r"(?U)\s+|[\p{L}\p{N}_\x{200C}\x{200D}]+|[^\p{L}\p{N}_\s]+"
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
@@ -51,7 +53,7 @@ def substring_counts(units: DataFrame, top: int = SOURCE_UNITS) -> DataFrame:
 def vocabulary(docs: DataFrame, size: int = 8192) -> DataFrame:
     """(id, piece binary, kind): specials, the 256 bytes, frequent characters, then units and substrings by score. A vocabulary is small by its size."""
     spark = docs.sparkSession
-    units = unit_counts(docs).persist()
+    units = stored(unit_counts(docs), "units")  # read three times
     fixed = [(i, s.encode(), "special") for i, s in enumerate(SPECIALS)] + [(len(SPECIALS) + b, bytes([b]), "byte") for b in range(256)]
     base = spark.createDataFrame(fixed, "id int, piece binary, kind string")
     characters = character_counts(units).orderBy(F.desc("n"), F.col("character").cast("binary")).limit(CHARACTER_PIECES)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import quality
 from millrace.operators import chunking
 from millrace.plans.catalog import register, table
+from millrace.session import stored
 
 MOST = 2000
 
@@ -63,7 +64,7 @@ def f4_hard_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with a hard flag go; the others are numbered anew."""
     df = quality.with_signals(chunked(spark, sf_dir))
     df = df.withColumn("flags", quality.flags_v2(short_continuation=chunking.short_continuation()))
-    df = df.select("doc_id", "chunk_index", "flags").persist()  # else the filter on flags is pushed into the signals, which are then computed again and again
+    df = stored(df.select("doc_id", "chunk_index", "flags"), "flags")  # else the filter on flags is pushed into the signals, which are then computed again and again
     kept = chunking.reject_chunks(df, "doc_id", "flags", ("raw_wikitable_markup", "orphaned_table_footnotes"))
     return kept.select("doc_id", "chunk_index", "chunk_count", F.array_join("flags", ",").alias("flags"))
 
