@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicate removal, decontamination, mixing and token output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet to the shared folder
-and read again as the next stage's docs. All stages but the last return the columns of documents.
+and read again as the next stage's docs. All stages but the last return the columns of documents, whatever they are (their own
+columns begin with an underscore), and give an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -17,27 +18,29 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; a null or empty text has no words and is rejected. Equal rows are judged alike."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked rows stays, the one of the smallest doc_id; a null or repeated doc_id loses no text of its own."""
+    """One row of each group of linked rows stays, the one of the smallest doc_id (null last), then of the smallest text hash. A row is a node
+    whatever its doc_id, so a null or repeated one loses no text of its own; rows without words link with nothing and stay."""
     return ngram_jaccard.keep_texts(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go. Null and empty texts hold none; an empty benchmark removes nothing."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them: never, once or twice."""
+    """Documents come as often as the mix takes them: never, once or twice. A null source is a source; null and empty texts are never taken."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in the binary format, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token ids in the binary format, read back: doc_id, start, n_tokens, ids_crc32. Null doc_ids come first, rows of one doc_id stand beside
+    each other, a null text is an empty one."""
     return token_output.report(docs)
 
 
