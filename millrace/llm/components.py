@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stored
+from millrace.llm.shared import discard, stored, stored_at
 
 ROWS_PER_FILE = 250_000
 
@@ -31,10 +31,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every node of edges (u, v); component is the smallest id reachable. Loops and repeats are fine."""
     now = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     nodes = now
-    state = None
+    state = path = None
     for _ in range(rounds):
         files = now.count() // ROWS_PER_FILE + 1  # rounds have fewer and fewer edges: no swarm of tiny files
-        now = stored(_star(_star(now, True), False).coalesce(files), "edges")
+        old = path
+        now, path = stored_at(_star(_star(now, True), False).coalesce(files), "edges")
+        if old:
+            discard(now.sparkSession, old)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == state:
             break

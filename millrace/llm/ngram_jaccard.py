@@ -8,7 +8,8 @@
 4. Each such component is joined in memory: inverted lists are kept by position (sets in order of size) and searched
    only from the probing set on, skipping the blocks before it; and a set that is close to one already answered takes
    over that one's overlap counts, corrected by the lists of the shingles in which the two differ.
-   A component of more than `max_sets` sets or `max_tokens` shingles is dealt out as pairs of blocks, all of them.
+   A large component is dealt out as pairs of blocks, all of them: 16 blocks at most until a block holds `max_sets` sets
+   or `max_tokens` shingles, and then as many as that takes.
 
 Copies are never expanded into pairs, and no link is lost: the counts are exact.
 
@@ -45,6 +46,9 @@ from millrace.llm.shared import (
 from millrace.llm.words import Words, mix, window_starts, windows
 
 LOW = U64((1 << LOW_BITS) - 1)
+KEY = ["s1", "s2", "n"]
+HOT = 1000  # classes with this part of all rows or more, so as many classes at the most, meet their rows by broadcast
+UNIT_BYTES = 16 << 20
 SETS = "doc_id long, h long, n long, s1 long, s2 long, prefix int, tokens binary"
 SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.int32()), ("tokens", pa.binary())])
 EDGES_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -249,16 +253,27 @@ def _roots(one: DataFrame, percent: int, max_sets: int, max_tokens: int) -> Data
 
     maybe = stored(maybe, "maybe")
     weight = one.select("id", F.expr(f"octet_length(tokens) / {8.0 * max_tokens} + 1.0 / {max_sets}").alias("w")).join(maybe, "id")
-    blocks = weight.groupBy("component").agg(F.ceil(F.sum("w") / 2).cast("int").alias("blocks"))
+    half = F.sum("w") / 2
+    blocks = weight.groupBy("component").agg(F.greatest(F.ceil(half), F.least(F.lit(16), F.ceil(32 * half))).cast("int").alias("blocks"))
     dealt = one.join(maybe, "id").join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "n", "tokens")
-    parts = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    k = F.pmod(F.xxhash64("component", "lo", "hi"), F.lit(4 * parts)).cast("int")
+    size = one.join(maybe, "id").join(blocks, "component").agg(F.sum(F.octet_length("tokens") * F.col("blocks"))).first()[0] or 0
+    parts = max(4 * int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // UNIT_BYTES))
+    k = F.pmod(F.xxhash64("component", "lo", "hi"), F.lit(parts)).cast("int")
     links = dealt.withColumn("k", k).groupBy("k").applyInArrow(_link_blocks(percent), "u long, v long")
     return components(links)
 
 
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows joined to their classes (KEY, copies, ...). A class with a large part of all rows doesn't gather them in one task."""
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    is_hot = F.col("copies") * HOT >= total
+    hot = F.broadcast(classes.where(is_hot))  # HOT rows at most, by their share
+    cold = rows.join(hot.select(*KEY), KEY, "left_anti").join(classes.where(~is_hot), KEY)
+    return rows.join(hot, KEY).unionByName(cold)
+
+
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75, max_sets: int = 4096, max_tokens: int = 4 << 20, group_bytes: int = 4 << 20) -> DataFrame:
     """Groups documents whose shingle sets link: 100 * intersection >= percent * union.
 
@@ -266,23 +281,16 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 75, max_sets: int
     """
     sets = _sets(docs, n, percent, group_bytes)
 
-    classes = stored(sets.where("n > 0 and tokens is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    one = sets.where("tokens is not null").join(classes.where("id is not null"), ["s1", "s2", "n"]).where("doc_id = id").select("id", "s1", "s2", "n", "prefix", "tokens").dropDuplicates(["s1", "s2", "n"])
+    linked = sets.where("n > 0 and tokens is not null")
+    classes = stored(linked.groupBy(*KEY).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
+    one = _with_class(linked, classes).where("doc_id = id").select("id", *KEY, "prefix", "tokens").dropDuplicates(KEY)
     one = stored(one.select("id", "n", "prefix", "tokens"), "one")
     roots = _roots(one, percent, max_sets, max_tokens)
 
-    node = classes.join(roots, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
-    return sets.select("doc_id", "n", "s1", "s2").join(node, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """One row a doc_id: of each group of linked documents, the one of the smallest doc_id; of rows that repeat it, one.
-
-    Rows without a doc_id, and other texts of a doc_id that is repeated, go; keep_texts keeps them.
-    """
-    first = ngram_jaccard(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    node = classes.join(roots, "id", "left").select(*KEY, "copies", F.coalesce("component", "id").alias("component"))
+    found = _with_class(linked.select("doc_id", *KEY), stored(node, "node")).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    alone = sets.where("n = 0 or tokens is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone)
 
 
 def keep_texts(docs: DataFrame, n: int = 5, percent: int = 75, max_sets: int = 4096, max_tokens: int = 4 << 20, group_bytes: int = 4 << 20) -> DataFrame:
@@ -295,9 +303,9 @@ def keep_texts(docs: DataFrame, n: int = 5, percent: int = 75, max_sets: int = 4
     key = ["_none", "_id", "_h"]  # of a row: doc_id is null, doc_id, hash of the text
     own = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("h").alias("_h")]
     linked = sets.where("n > 0 and tokens is not null").select(*own, "n", "s1", "s2", "prefix", "tokens")
-    classes = linked.groupBy("s1", "s2", "n").agg(F.min(F.struct(*key)).alias("row"))
+    classes = linked.groupBy(*KEY).agg(F.min(F.struct(*key)).alias("row"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    one = linked.join(classes, ["s1", "s2", "n"]).where(F.struct(*key) == F.col("row")).dropDuplicates(["s1", "s2", "n"])
+    one = _with_class(linked, classes).where(F.struct(*key) == F.col("row")).dropDuplicates(KEY)
     roots = _roots(stored(one.select("id", "n", "prefix", "tokens"), "one"), percent, max_sets, max_tokens)
 
     first = classes.join(roots, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("row").alias("row")).select("row.*")

@@ -7,47 +7,37 @@ task's memory grows with the corpus, and the shuffle of the texts is made once a
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import scratch_path
+
 GROUP_BYTES = 4 << 20
 LOW_BITS = 40
 U64 = np.uint64
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests, one machine)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import shutil
-    import tempfile
-
-    global _own
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return f"file://{_own}"
+def stored_at(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and its path: a cut in the lineage that survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-_own: str | None = None
+def stored(df: DataFrame, name: str = "t") -> DataFrame:
+    return stored_at(df, name)[0]
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written to the shared folder and read back: a cut in the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -24,7 +24,6 @@ has no rules; an empty table gives no shards and an empty result; columns beside
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 
 import numpy as np
@@ -32,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import U64, release, runs, scratch_dir, text_bytes
+from millrace.llm.shared import U64, release, runs, text_bytes
 from millrace.llm.words import BASE, WINDOW, string_buffers
+from millrace.session import scratch_path
 
 END = 0
 STEP = 1 << 17
@@ -462,6 +462,6 @@ def read_range(spark: SparkSession, folder: str, start: int, n: int) -> np.ndarr
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the files to the shared folder and reads them back."""
-    folder = f"{scratch_dir(docs.sparkSession)}/millrace/tokens-{uuid.uuid4().hex}"
+    folder = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, folder, path)
     return read_tokens(docs.sparkSession, folder)
