@@ -94,6 +94,28 @@ def registry(entries: DataFrame) -> DataFrame:
     return entries.groupBy("evaluation_id").agg(F.min(sha256(F.col("text"))).alias("content_sha256"), (F.count_distinct(sha256(F.col("text"))) > 1).alias("conflict"))
 
 
+def register(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The evaluation registry old with the entries new (evaluation_id, benchmark_id, version, text). Registering an entry again changes
+    nothing; another content under a known id is an error."""
+    key = ["evaluation_id", "benchmark_id", "version"]
+    both = old.select(*key, "text").union(new.select(*key, "text")).withColumn("content_sha256", sha256(F.col("text"))).dropDuplicates([*key, "content_sha256"])
+    conflicts = both.groupBy("evaluation_id").agg(F.count("*").alias("n")).where("n > 1").orderBy("evaluation_id").limit(5).collect()
+    if conflicts:
+        raise ValueError("evaluation ids with two contents: " + ", ".join(str(r.evaluation_id) for r in conflicts))
+    return both
+
+
+def registry_hash(entries: DataFrame) -> str:
+    """One hash over all entries in order of id: evaluation sets are small by nature, and only ids and hashes come to the driver."""
+    rows = entries.select(F.concat_ws("|", "evaluation_id", "benchmark_id", "version", "content_sha256").alias("x")).orderBy("x").collect()
+    return "sha256:" + hashlib.sha256("\n".join(r.x for r in rows).encode()).hexdigest()
+
+
+def blocked(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """docs whose text is the content of an entry."""
+    return docs.withColumn("_h", sha256(F.col("text"))).join(bounded(entries.select(F.col("content_sha256").alias("_h")).distinct(), "_h"), "_h", "left_semi").drop("_h")
+
+
 def canary_hits(docs: DataFrame, canaries: DataFrame) -> DataFrame:
     """(doc_id, canary) where a document's casefolded text holds a canary's. An empty canary hits nothing. All canaries are looked for in one
     scan of each text; they are few (an error beyond BROADCAST_BYTES)."""

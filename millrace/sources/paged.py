@@ -1,9 +1,12 @@
-"""A paged row service as a Spark data source: one partition per block, retries with back-off, and a row-count check."""
+"""A paged row service as a Spark data source: one partition per block, retries with back-off, a read-through cache and a row-count check."""
 
 from __future__ import annotations
 
+import gzip
 import json
+import os
 import time
+import uuid
 import urllib.error
 import urllib.request
 
@@ -16,7 +19,7 @@ class Block(InputPartition):
 
 
 def fetch(url: str, retries: int = 10, pause: float = 3.0, sleep=time.sleep, opener=urllib.request.urlopen) -> dict:
-    """JSON of a url. Waits `pause` before each try; after 429 as long as the server says, after 5xx longer each time."""
+    """JSON of a url. Waits `pause` before each try; after 429 as long as the server says, after 5xx or a broken connection longer each time."""
     for attempt in range(retries):
         sleep(pause)
         try:
@@ -29,9 +32,28 @@ def fetch(url: str, retries: int = 10, pause: float = 3.0, sleep=time.sleep, ope
                 sleep(pause * 2**attempt)
             else:
                 raise
+        except (urllib.error.URLError, TimeoutError, ConnectionError):
+            sleep(pause * 2**attempt)
     raise RuntimeError(f"no answer from {url}")
 
 
+def cached(path: str | None, get) -> dict:
+    """What `get` gives, kept as a gzip file under `path` and read from there the next time. A file is written whole and then named, so a
+    reader never meets half of one. The folder must be one that all executors share."""
+    if path is None:
+        return get()
+    if os.path.exists(path):
+        with gzip.open(path, "rt", encoding="utf-8") as file:
+            return json.load(file)
+    page = get()
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "wb") as file:
+        file.write(gzip.compress(json.dumps(page, sort_keys=True).encode(), 9, mtime=0))
+    os.replace(own, path)
+    return page
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -40,7 +62,9 @@ class PagedReader(DataSourceReader):
         return [Block(int(x)) for x in self.options["offsets"].split(",")]
 
     def read(self, partition: Block):
-        page = fetch(self.options["url"].format(offset=partition.offset, length=self.options.get("length", "100")), pause=float(self.options.get("pause", "3")))
+        url = self.options["url"].format(offset=partition.offset, length=self.options.get("length", "100"))
+        folder = self.options.get("cache")
+        page = cached(f"{folder}/offset-{partition.offset:012d}.json.gz" if folder else None, lambda: fetch(url, pause=float(self.options.get("pause", "3"))))
         expected = self.options.get("total")
         if expected is not None and page.get("num_rows_total") not in (None, int(expected)):
             raise ValueError(f"the source has {page['num_rows_total']} rows now, not {expected}")

@@ -320,3 +320,37 @@ def test_firewall_by_brute_force(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(None, "x"), (200, None)], "doc_id long, text string")
     got = dedup.overlapping(docs, spark.createDataFrame([(" ".join(v),) for v in items], "text string"), "doc_id")
     assert {x.doc_id for x in got.collect()} == want and 5 < len(want) < 80
+
+
+def test_evaluation_registry(spark):
+    kinds = "evaluation_id string, benchmark_id string, version string, text string"
+    old = dedup.register(spark.createDataFrame([], kinds), spark.createDataFrame([("e2", "b", "1", "two"), ("e1", "b", "1", "one")], kinds))
+    again = dedup.register(old, spark.createDataFrame([("e1", "b", "1", "one")], kinds))
+    assert again.count() == 2 and dedup.registry_hash(again) == dedup.registry_hash(old.repartition(3))
+    more = dedup.register(old, spark.createDataFrame([("e3", "b", "1", "three")], kinds))
+    assert dedup.registry_hash(more) != dedup.registry_hash(old)
+    with pytest.raises(ValueError, match="e1"):
+        dedup.register(old, spark.createDataFrame([("e1", "b", "1", "other")], kinds))
+    docs = spark.createDataFrame([(1, "one"), (2, "One"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in dedup.blocked(docs, old).collect()] == [1]
+
+
+def test_pages_are_cached_and_loaded_by_name(spark, tmp_path):
+    (tmp_path / "page-0").write_text(json.dumps({"num_rows_total": 3, "rows": [{"row": {"x": 1}}, {"row": {"x": 2}}]}))
+    (tmp_path / "page-2").write_text(json.dumps({"num_rows_total": 3, "rows": [{"row": {"x": 3}}]}))
+    spark.dataSource.register(paged.PagedSource)
+    options = {"url": f"file://{tmp_path}/page-{{offset}}", "offsets": "0,2", "pause": "0", "total": "3", "cache": f"{tmp_path}/cache"}
+    load = lambda: sorted(map(tuple, spark.read.format("paged_rows").options(**options).load().collect()))
+    want = [(0, '{"x": 1}'), (1, '{"x": 2}'), (2, '{"x": 3}')]
+    assert load() == want
+    (tmp_path / "page-0").unlink()
+    assert load() == want  # from the cache
+    waits, answers = [], [urllib.error.URLError("down"), TimeoutError(), io.BytesIO(b"{}")]
+
+    def opener(_):
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert paged.fetch("u", sleep=waits.append, opener=opener) == {} and waits == [3.0, 3.0, 3.0, 6.0, 3.0]
